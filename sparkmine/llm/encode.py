@@ -8,6 +8,7 @@ library once per worker, and a text's ids are its units' ids in order.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -15,11 +16,18 @@ import numpy as np
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Units in one generation of the store; two are held, and longer units aren't kept.
-KEPT, LONGEST = 400_000, 40
+KEPT, LONGEST = 600_000, 40
 #: What may end a unit behind a letter or digit; the pre-tokenizer always cuts before it.
 _ENDS = ".,;:!?\"#$%&*()[]{}/+-=_~^`@"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(0x100) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """ids(texts): the ids of each text as bytes of dtype, little-endian."""
 
@@ -28,6 +36,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.letters = byte_letters()
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -59,14 +69,22 @@ class Encoder:
                 new.add(unit)
         for unit in new.intersection(older):
             kept[unit] = older[unit]
-        if new := list(new.difference(kept)):
-            e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        found, mixed, tokenize, letters, code = {}, [], self.tokenizer.model.tokenize, self.letters, self.code
+        for unit in new.difference(kept):
+            if unit.isalpha() or (unit[0] == " " and unit[1:].isalpha()):  # one word: the pre-tokenizer has nothing to cut
+                found[unit] = array(code, [t.id for t in tokenize(unit.encode().decode("latin-1").translate(letters))]).tobytes()
+            else:
+                mixed.append(unit)
+        if mixed:
+            e = self.tokenizer.encode(mixed, is_pretokenized=True, add_special_tokens=False)
             ids = np.asarray(e.ids, dtype=self.dtype).tobytes()
-            ends = (np.bincount(np.asarray(e.word_ids, dtype=np.int64), minlength=len(new)).cumsum() * self.dtype.itemsize).tolist()
+            ends = (np.bincount(np.asarray(e.word_ids, dtype=np.int64), minlength=len(mixed)).cumsum() * self.dtype.itemsize).tolist()
             at = 0
-            for unit, end in zip(new, ends, strict=True):
-                (kept if len(unit) <= LONGEST else long)[unit] = ids[at:end]
+            for unit, end in zip(mixed, ends, strict=True):
+                found[unit] = ids[at:end]
                 at = end
+        for unit, raw in found.items():
+            (kept if len(unit) <= LONGEST else long)[unit] = raw
         for unit, stem, tail in split:
             (kept if len(unit) <= LONGEST else long)[unit] = (kept[stem] if stem in kept else long[stem]) + (kept[tail] if tail in kept else long[tail])
         if not long:

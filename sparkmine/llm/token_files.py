@@ -58,9 +58,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         for pdf in frames:
             yield pd.DataFrame({"ids": [x + np.array([end_id], enc.dtype).tobytes() for x in enc.ids(pdf["text"].tolist())], "dtype": enc.dtype.str})
 
-    sample = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS).select("text")
-    got = sample.mapInPandas(serialize, "ids binary, dtype string").collect()
-    trained = train([bytes(r["ids"]) for r in got])
+    narrow = docs.where(F.length("text") <= SAMPLE_CHARS).select(F.xxhash64("doc_id", "text").alias("h"))
+    least = [r["h"] for r in narrow.orderBy("h").limit(SAMPLE_DOCS).collect()]
+    sample = docs.where((F.length("text") <= SAMPLE_CHARS) & (F.xxhash64("doc_id", "text") <= F.lit(least[-1] if least else 0))).select("doc_id", "text").limit(2 * SAMPLE_DOCS)
+    got = sample.select("text").mapInPandas(serialize, "ids binary, dtype string").collect()
+    trained = train(sorted(bytes(r["ids"]) for r in got))
     digest = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(digest, bytearray(trained), end_id)], "hash string, dictionary binary, end_id long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/dictionary")
 
