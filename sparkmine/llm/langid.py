@@ -26,6 +26,8 @@ from sparkmine.llm.common import worker_cache
 TRAIN_DOCS, TRAIN_CHARS, LANDMARKS = 2400, 20_000, 240
 ORDERS, HASH_BITS, RIDGE = (1, 2, 3, 4), 18, 1e-3
 UNKNOWN = "und"
+#: The pipeline keeps texts from this score on; 0.5 is where a language is as likely as not against the rest.
+LEAST_SCORE = 0.2
 
 
 def _letters() -> np.ndarray:
@@ -140,6 +142,20 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return rows.mapInPandas(score, f"{schema}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: dict, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """docs whose language is recognised, with lang as predicted; texts without a letter, or that no language fits, go."""
+    carried = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buffer = np.zeros(1 << HASH_BITS, bool)
+        for pdf in frames:
+            names, score = predict(pdf[text_col].tolist(), carried.value, buffer)
+            pdf = pdf.assign(**{lang_col: names})
+            yield pdf[(pdf[lang_col] != UNKNOWN) & (score >= least)]
+
+    return docs.mapInPandas(keep, docs.schema)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(*labelled_sample(docs))

@@ -115,5 +115,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return placed.join(taken, "row", "left").select("row", "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
 
 
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, slots: int = SLOTS) -> DataFrame:
+    """docs as the mix takes them: each row as often as its share rounds to, rows that it doesn't take left out.
+
+    Rows that are equal in all of id, text and source are given their average share.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("string"), text_col, source_col))
+    taken = mix(keyed, "_key", text_col, source_col, weights, cap, slots).where("size > 0").groupBy("doc_id").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    shares = written(taken.where("_times > 0").withColumnRenamed("doc_id", "_k"))
+    return keyed.join(shares, F.col("_key") == F.col("_k")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_key", "_k", "_times", "_i")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")

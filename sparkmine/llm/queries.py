@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
+import corpus_pipeline
 from sparkmine.llm.fingerprints import op5_fingerprints
 from sparkmine.llm.langid import op10_language_id
 from sparkmine.llm.mixing import op6_mixing
+from sparkmine.llm.neighbours import op8_nearest
 from sparkmine.llm.packing import op3_packing
 from sparkmine.llm.pii import op9_pii
 from sparkmine.llm.secrets import op4_secret_scans
@@ -18,7 +20,9 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_nearest": op8_nearest,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {}

@@ -1,7 +1,7 @@
 """Secret scans: token-like candidates, and a random forest that tells findings from look-alikes, without Python workers.
 
-A candidate is a whole run of ``[A-Za-z0-9+/_-]`` within a word, of at least SHORTEST characters, that holds a digit, or
-that has capitals only. Its features are its length, shares and transitions of character classes, its coverage by common
+A candidate is a whole run of ``[A-Za-z0-9+/_-]`` within a word, of at least SHORTEST characters, that holds a digit or
+begins like an issuer's key. Its features are its length, shares and transitions of character classes, its coverage by common
 fragments of words, path-like separators, and what the words around it say. The forest is trained from a table of
 labelled findings, then written out as an expression, so scoring stays within the row: no candidate is shuffled.
 
@@ -142,8 +142,8 @@ def findings(text: Column, forest: list) -> Column:
     digits = F.lit("[0-9]")
     positions = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("word"), w.alias("w"))), lambda x: (F.length(x["w"]) >= SHORTEST) & x["w"].rlike(RUN))
     around = F.transform(positions, lambda x: F.struct(x["word"].alias("word"), x["w"].alias("w"), F.concat_ws(" ", F.slice(words, F.greatest(x["word"] - 2, F.lit(1)), F.least(x["word"], F.lit(3)))).alias("left")))
-    runs = F.flatten(F.transform(around, lambda x: F.transform(F.array_distinct(F.regexp_extract_all(x["w"], F.lit(f"({RUN})"))), lambda t: F.struct(x["word"].alias("word"), t.alias("token"), F.concat(x["left"], F.lit(" "), F.substring_index(x["w"], t, 1)).alias("before")))))
-    likely = F.filter(runs, lambda r: (F.regexp_count(r["token"], digits) > 0) | r["token"].rlike("^[A-Z]+$"))
+    runs = F.flatten(F.transform(around, lambda x: F.transform(F.array_distinct(F.regexp_extract_all(x["w"], F.lit(f"({RUN})"))), lambda t: F.struct(x["word"].alias("word"), t.alias("token"), F.concat(x["left"], F.lit(" "), F.split_part(x["w"], t, F.lit(1))).alias("before")))))
+    likely = F.filter(runs, lambda r: (F.regexp_count(r["token"], digits) > 0) | r["token"].rlike(ISSUED))
     featured = F.transform(likely, lambda r: F.struct(r["word"].alias("word"), r["token"].alias("token"), F.struct(*[v.alias(k) for k, v in features(r["token"], r["before"]).items()]).alias("f")))
     scored = F.transform(featured, lambda r: F.struct(r["word"].alias("word"), r["token"].alias("token"), score(forest, {k: r["f"][k] for k in FEATURES}).alias("score")))
     # most texts hold no run at all: they aren't split into words

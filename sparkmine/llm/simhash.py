@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkmine.llm.common import partitions, written
 
@@ -186,9 +187,8 @@ def connected(edges: DataFrame) -> DataFrame:
         edges = new
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, fp, component_id: one row per row of docs."""
-    marked = written(fingerprints(docs, id_col, text_col, shingle))
+def groups_of(marked: DataFrame, bits: int = BITS) -> DataFrame:
+    """fp, component (a fingerprint that stands for its group), component_id (the least id): one row per fingerprint."""
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     linked = written(links(distinct.select("fp"), bits).distinct())
     first = linked.groupBy("fp").agg(F.min("root").alias("first"))
@@ -197,9 +197,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = connected(bridges)
     member = written(first.join(label, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("label", "first").alias("label")))
     least = member.join(distinct, "fp").groupBy("label").agg(F.min("least_id").alias("component_id"))
-    known = written(member.join(least, "label").select("fp", "component_id"))
-    single = distinct.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return marked.join(single, "fp", "left").select("doc_id", "fp", "component_id")
+    known = written(member.join(least, "label").select("fp", "label", "component_id"))
+    return distinct.join(known, "fp", "left").select("fp", F.coalesce("label", "fp").alias("component"), F.when(F.col("label").isNotNull(), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """doc_id, fp, component_id: one row per row of docs."""
+    marked = written(fingerprints(docs, id_col, text_col, shingle))
+    return marked.join(groups_of(marked, bits), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """docs with one row of each group: that of the least id (a null id last), with all its columns."""
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.assign(_fp=np.array([text_fingerprint(t, shingle) for t in pdf[text_col]], dtype=np.int64))
+
+    marked = written(docs.mapInPandas(make, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])))
+    groups = groups_of(marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_fp").alias("fp")), bits)
+    pairs = marked.groupBy("_fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"))).alias("at"))
+    stays = pairs.join(groups, F.col("_fp") == F.col("fp")).groupBy("component").agg(F.min(F.struct("at", F.col("_fp").alias("f"))).alias("x")).select(F.col("x.at.id").alias("_id"), F.col("x.f").alias("_f"))
+    kept = marked.join(stays, (F.col("_fp") == F.col("_f")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    # rows of one id and one fingerprint: one of them
+    turn = Window.partitionBy("_fp", id_col).orderBy(text_col)
+    return kept.withColumn("_r", F.row_number().over(turn)).where("_r = 1").drop("_fp", "_r")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
