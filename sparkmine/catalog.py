@@ -1,4 +1,6 @@
 """Name of query -> Spark callable and DuckDB twin, over the driver's tables."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from sparkmine.plans import baskets, clusters, graphs, layers, spread, texts, vectors  # noqa: F401
+from sparkmine.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
