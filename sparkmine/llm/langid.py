@@ -117,12 +117,11 @@ def held_out(id_col: str = "doc_id"):
 
 def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
     """Up to TRAIN_DOCS (text, lang) for fitting, languages in turn, each in order of a hash of its ids."""
-    known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
-    turn = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col))
-    narrow = known.select(F.col(id_col), F.col(lang_col), F.row_number().over(turn).alias("turn")).where(F.col("turn") <= TRAIN_DOCS // 4)
-    picked = narrow.orderBy("turn", lang_col).limit(TRAIN_DOCS).select(F.col(id_col).alias("_id"), "turn")
-    rows = docs.where(F.length(text_col) <= TRAIN_CHARS).join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), "turn", "_id").orderBy("turn", "l", "_id", "t").limit(TRAIN_DOCS).collect()
-    rows = [r for r in rows if r["l"] is not None]
+    docs = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(~held_out("i") & F.col("l").isNotNull() & (F.length("t") <= TRAIN_CHARS))
+    turn = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
+    narrow = docs.select("i", "l", F.row_number().over(turn).alias("turn")).where(F.col("turn") <= TRAIN_DOCS // 4)
+    picked = narrow.orderBy("turn", "l", "i").limit(TRAIN_DOCS).select(F.col("i").alias("p"), "turn", F.col("l").alias("q"))
+    rows = docs.join(F.broadcast(picked), (F.col("i") == F.col("p")) & (F.col("l") == F.col("q"))).select("t", "l", "turn", "i").orderBy("turn", "l", "i", "t").limit(TRAIN_DOCS).collect()
     return [r["t"] for r in rows], [r["l"] for r in rows]
 
 

@@ -71,7 +71,7 @@ def schedule(sources: DataFrame, slots: int = SLOTS, cap: int = CAP) -> DataFram
     # points in ascending order are ranked without a sort by source: the list of stretches is one row of an array
     ends = stretch.agg(F.array_sort(F.collect_list(F.struct("high", "rank", "blocks"))).alias("ends"), F.max("slots").alias("slots"))
     points = ends.select("ends", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("slots"), F.lit(1)) - 1)).alias("slot")).withColumn("u", (F.col("slot") * F.lit(GOLDEN)) % 1)
-    owner = F.coalesce(F.filter("ends", lambda e: e["high"] > F.col("u"))[0], F.element_at("ends", -1))
+    owner = F.coalesce(F.get(F.filter("ends", lambda e: e["high"] > F.col("u")), F.lit(0)), F.try_element_at("ends", F.lit(-1)))
     drawn = points.select("slot", owner.alias("e")).select("slot", "e.rank", "e.blocks")
     per_source = Window.partitionBy("rank").orderBy("slot")
     return drawn.withColumn("n", F.row_number().over(per_source) - 1).where(F.col("n") < cap * F.col("blocks")).groupBy("rank", (F.col("n") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     sources = written(targets(narrow, weights, cap).coalesce(1))
     block_words = F.greatest(F.lit(1), F.ceil(F.col("total") / slots))
-    bucket = F.conv(F.substring("shuffled", 1, 4), 16, 10).cast("int") % BUCKETS if BUCKETS > 65536 else F.floor(F.conv(F.substring("shuffled", 1, 4), 16, 10).cast("int") * BUCKETS / 65536).cast("int")
+    bucket = F.floor(F.conv(F.substring("shuffled", 1, 4), 16, 10).cast("int") * BUCKETS / 65536).cast("int")
     rows = narrow.withColumn("bucket", bucket)
     cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,10 +120,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Rows that are equal in all of id, text and source are given their average share.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("string"), text_col, source_col))
-    taken = mix(keyed, "_key", text_col, source_col, weights, cap, slots).where("size > 0").groupBy("doc_id").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    shares = written(taken.where("_times > 0").withColumnRenamed("doc_id", "_k"))
-    return keyed.join(shares, F.col("_key") == F.col("_k")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_key", "_k", "_times", "_i")
+    keyed = docs.withColumn("_mix_key", F.xxhash64(F.col(id_col).cast("string"), text_col, source_col))
+    taken = mix(keyed, "_mix_key", text_col, source_col, weights, cap, slots).where("size > 0").groupBy("doc_id").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_mix_times"))
+    shares = written(taken.where("_mix_times > 0").withColumnRenamed("doc_id", "_mix_k"))
+    return keyed.join(shares, F.col("_mix_key") == F.col("_mix_k")).withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).drop("_mix_key", "_mix_k", "_mix_times", "_mix_i")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,7 +281,6 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     # queries of one vector share a search; members beyond the least k + 1 are told apart below
     divisible = F.pmod(F.col("id"), F.lit(every)) == 0
     ids = table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(divisible).distinct()
-    ids = ids.select("id", F.xxhash64("v").alias("h"), "v")
 
     def raw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

@@ -211,16 +211,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each group: that of the least id (a null id last), with all its columns."""
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf.assign(_fp=np.array([text_fingerprint(t, shingle) for t in pdf[text_col]], dtype=np.int64))
+            yield pdf.assign(_simhash_fp=np.array([text_fingerprint(t, shingle) for t in pdf[text_col]], dtype=np.int64))
 
-    marked = written(docs.mapInPandas(make, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])))
-    groups = groups_of(marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_fp").alias("fp")), bits)
-    pairs = marked.groupBy("_fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"))).alias("at"))
-    stays = pairs.join(groups, F.col("_fp") == F.col("fp")).groupBy("component").agg(F.min(F.struct("at", F.col("_fp").alias("f"))).alias("x")).select(F.col("x.at.id").alias("_id"), F.col("x.f").alias("_f"))
-    kept = marked.join(stays, (F.col("_fp") == F.col("_f")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    marked = written(docs.mapInPandas(make, T.StructType([*docs.schema.fields, T.StructField("_simhash_fp", T.LongType())])))
+    groups = groups_of(marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_simhash_fp").alias("fp")), bits)
+    pairs = marked.groupBy("_simhash_fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"))).alias("at"))
+    stays = pairs.join(groups, F.col("_simhash_fp") == F.col("fp")).groupBy("component").agg(F.min(F.struct("at", F.col("_simhash_fp").alias("f"))).alias("x")).select(F.col("x.at.id").alias("_simhash_id"), F.col("x.f").alias("_simhash_f"))
+    kept = marked.join(stays, (F.col("_simhash_fp") == F.col("_simhash_f")) & F.col(id_col).eqNullSafe(F.col("_simhash_id")), "left_semi")
     # rows of one id and one fingerprint: one of them
-    turn = Window.partitionBy("_fp", id_col).orderBy(text_col)
-    return kept.withColumn("_r", F.row_number().over(turn)).where("_r = 1").drop("_fp", "_r")
+    turn = Window.partitionBy("_simhash_fp", id_col).orderBy(text_col)
+    return kept.withColumn("_simhash_r", F.row_number().over(turn)).where("_simhash_r = 1").drop("_simhash_fp", "_simhash_r")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
