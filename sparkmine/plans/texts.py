@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from sparkmine.plans.registry import query
 from sparkmine.sources import text
 
-LOG = """gSpan runtime at 95% support: 12 seconds
-fsg runtime at 95% support: 7 seconds
+LOG = """alpha runtime at 95% support: 12 seconds
+beta runtime at 95% support: 7 seconds
 building index
-gaston runtime at 95% support: 3 seconds
-gSpan runtime at 50% support: 140 seconds
-fsg runtime at x% support: 9 seconds
-gaston runtime at 50% support: n/a seconds"""
+gamma runtime at 95% support: 3 seconds
+alpha runtime at 50% support: 140 seconds
+beta runtime at x% support: 9 seconds
+gamma runtime at 50% support: n/a seconds"""
 GRAPH_TEXT = """# a
 v 0 A
 v 1 B
