@@ -128,3 +128,25 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+
+
+#: DuckDB's twin of op6_mixing().
+OP6_SQL = rf"""
+with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as h from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+r as (select *, row_number() over (order by source asc nulls last) - 1 as rank, cast(sum(source_size) over () as bigint) as total from s),
+w as (select *, [{", ".join(f"{float(x)}e0" for x in WEIGHTS)}][rank % {len(WEIGHTS)} + 1] as weight, source_size * {float(CAP)}e0 as cap from r),
+f as (select *, greatest(total - coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0), 0) / sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as level from w),
+g as (select *, cap <= level * weight as capped from f),
+t as (select *, coalesce(first_value(case when not capped then level end ignore nulls) over (order by cap / weight, rank rows between unbounded preceding and unbounded following), level) as final from g),
+src as (select source, source_size, rank, total, case when capped then cap else final * weight end as target, greatest(1, cast(ceil(total / {float(SLOTS)}e0) as bigint)) as words from t),
+high as (select *, sum(target) over (order by rank) / total as high, cast(ceil(source_size / cast(words as double)) as bigint) as blocks from src where target > 0),
+stretch as (select *, coalesce(lag(high) over (order by rank), 0) as low, max(rank) over () as last from high),
+points as (select slot, (slot * {GOLDEN}e0) % 1 as u from (select unnest(range(cast(greatest(max(ceil(total / cast(words as double))), 1) as bigint))) as slot from high)),
+drawn as (select slot, rank, blocks, row_number() over (partition by rank order by slot) - 1 as n from points join stretch on u >= low and (u < high or rank = last)),
+times as (select rank, n % blocks as block, count(*) as times from drawn where n < {CAP} * blocks group by 1, 2),
+placed as (select d.doc_id, d.source, d.size, source_size, target, rank, words, cast(coalesce(sum(d.size) over (partition by d.source order by h, doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as bigint) as pos from d join src on d.source is not distinct from src.source),
+cut as (select doc_id, rank, pos, size, words, unnest(range(pos // words, (pos + size - 1) // words + 1)) as block from placed where size > 0),
+taken as (select doc_id, sum((least(pos + size, (block + 1) * words) - greatest(pos, block * words)) * times) as taken from cut join times using (rank, block) group by doc_id)
+select placed.doc_id, source, size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken from placed left join taken using (doc_id)
+"""

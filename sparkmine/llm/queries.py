@@ -3,7 +3,7 @@
 import corpus_pipeline
 from sparkmine.llm.fingerprints import op5_fingerprints
 from sparkmine.llm.langid import op10_language_id
-from sparkmine.llm.mixing import op6_mixing
+from sparkmine.llm.mixing import OP6_SQL, op6_mixing
 from sparkmine.llm.neighbours import op8_nearest
 from sparkmine.llm.packing import op3_packing
 from sparkmine.llm.pii import op9_pii
@@ -25,4 +25,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
