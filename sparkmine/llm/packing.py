@@ -67,7 +67,10 @@ def combinations(counts: np.ndarray, window: int, partners: int = PARTNERS) -> n
 
 
 def repeats(combos: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Whole repeat counts x >= 0 with A x near counts and never above: accelerated projected gradient, then rounding."""
+    """Whole repeat counts x >= 0 with A x near counts and never above: accelerated projected gradient, then rounding.
+
+    A length's residual weighs as its tokens: the squares of length * (A x - counts) are minimised.
+    """
     if not len(combos):
         return np.zeros(0, np.int64)
     target = counts.astype(float)
@@ -79,13 +82,14 @@ def repeats(combos: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.
         out[0] = 0
         return out
 
-    uses = ax(np.ones(len(combos)))
+    weight = (np.arange(len(counts)) / len(counts)) ** 2
+    uses = ax(np.ones(len(combos))) * weight
     x = y = np.zeros(len(combos))
     t = 1.0
     # a diagonal step: for each combination, what moving all that share its lengths would do
-    step = 1 / np.maximum((uses[combos] * real).sum(1), 1)
+    step = 1 / np.maximum((uses[combos] * real).sum(1), 1e-9)
     for _ in range(rounds):
-        grad = ((ax(y) - target)[combos] * real).sum(1)
+        grad = (((ax(y) - target) * weight)[combos] * real).sum(1)
         z = np.maximum(0, y - step * grad)
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         y, x = z + (last - 1) / t * (z - x), z
