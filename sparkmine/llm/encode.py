@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -28,6 +29,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
+class _Store(dict):
+    """unit -> its ids as bytes; what is missing is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, unit: str) -> bytes:
+        return self.encode(unit)
+
+
 class Encoder:
     """ids(texts): the ids of each text as bytes of dtype, little-endian."""
 
@@ -35,11 +46,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.word = self.tokenizer.model.tokenize
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = byte_letters()
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.kept, self.older = _Store(self.unit), {}
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -50,46 +61,25 @@ class Encoder:
             return [first, *[" " + x for x in rest]]
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.units(t or "") for t in texts]
-        need = set().union(*cut)
-        long = {}
-        if len(self.kept) > KEPT:
-            self.kept, self.older = {}, self.kept
-        kept, older, new, split = self.kept, self.older, set(), []
-        for unit in need.difference(kept):
-            if unit in older:
-                kept[unit] = older[unit]
-                continue
+    def unit(self, unit: str) -> bytes:
+        raw = self.older.get(unit)
+        if raw is None:
             stem = unit.rstrip(_ENDS)
             if len(stem) < len(unit) and stem[-1:].isalnum():
-                split.append((unit, stem, unit[len(stem) :]))
-                new.update(split[-1][1:])
-            else:
-                new.add(unit)
-        for unit in new.intersection(older):
-            kept[unit] = older[unit]
-        found, mixed, tokenize, letters, code = {}, [], self.tokenizer.model.tokenize, self.letters, self.code
-        for unit in new.difference(kept):
-            if unit.isalpha() or (unit[0] == " " and unit[1:].isalpha()):  # one word: the pre-tokenizer has nothing to cut
-                found[unit] = array(code, [t.id for t in tokenize(unit.encode().decode("latin-1").translate(letters))]).tobytes()
+                raw = self.kept[stem] + self.kept[unit[len(stem) :]]
+            elif unit.isalpha() or (unit[:1] == " " and unit[1:].isalpha()):  # one word: the pre-tokenizer has nothing to cut
+                raw = array(self.code, [t.id for t in self.word(unit.encode().decode("latin-1").translate(self.letters))]).tobytes()
             else:
-                mixed.append(unit)
-        if mixed:
-            e = self.tokenizer.encode(mixed, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(e.ids, dtype=self.dtype).tobytes()
-            ends = (np.bincount(np.asarray(e.word_ids, dtype=np.int64), minlength=len(mixed)).cumsum() * self.dtype.itemsize).tolist()
-            at = 0
-            for unit, end in zip(mixed, ends, strict=True):
-                found[unit] = ids[at:end]
-                at = end
-        for unit, raw in found.items():
-            (kept if len(unit) <= LONGEST else long)[unit] = raw
-        for unit, stem, tail in split:
-            (kept if len(unit) <= LONGEST else long)[unit] = (kept[stem] if stem in kept else long[stem]) + (kept[tail] if tail in kept else long[tail])
-        if not long:
-            return [b"".join(map(kept.__getitem__, units)) for units in cut]
-        return [b"".join([kept[u] if u in kept else long[u] for u in units]) for units in cut]
+                raw = array(self.code, self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        if len(unit) <= LONGEST:
+            self.kept[unit] = raw
+        return raw
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.kept) > KEPT:
+            self.older, self.kept = dict(self.kept), _Store(self.unit)
+        get = self.kept.__getitem__
+        return [b"".join(map(get, self.units(t or ""))) for t in texts]
 
 
 def encoder(path: str) -> Encoder:
