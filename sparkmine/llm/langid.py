@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sparkmine.llm.common import worker_cache
 
-TRAIN_DOCS, TRAIN_CHARS, LANDMARKS = 2400, 20_000, 240
+TRAIN_DOCS, PER_LANGUAGE, TRAIN_CHARS, LANDMARKS = 2400, 600, 20_000, 240
 ORDERS, HASH_BITS, RIDGE = (1, 2, 3, 4), 18, 1e-3
 UNKNOWN = "und"
 #: The pipeline keeps texts from this score on; 0.5 is where a language is as likely as not against the rest.
@@ -118,8 +118,11 @@ def held_out(id_col: str = "doc_id"):
 def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
     """Up to TRAIN_DOCS (text, lang) for fitting, languages in turn, each in order of a hash of its ids."""
     docs = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(~held_out("i") & F.col("l").isNotNull() & (F.length("t") <= TRAIN_CHARS))
+    # by a hash threshold per language first, so that a common language's rows don't gather to be ranked
+    share = docs.groupBy("l").agg(F.least(F.lit(1.0), F.lit(2.0 * PER_LANGUAGE) / F.count("*")).alias("share")).withColumnRenamed("l", "k")
+    some = docs.select("i", "l").join(F.broadcast(share) if share.count() <= 10_000 else share, F.col("l") == F.col("k")).where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     turn = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    narrow = docs.select("i", "l", F.row_number().over(turn).alias("turn")).where(F.col("turn") <= TRAIN_DOCS // 4)
+    narrow = some.select("i", "l", F.row_number().over(turn).alias("turn")).where(F.col("turn") <= PER_LANGUAGE)
     picked = narrow.orderBy("turn", "l", "i").limit(TRAIN_DOCS).select(F.col("i").alias("p"), "turn", F.col("l").alias("q"))
     rows = docs.join(F.broadcast(picked), (F.col("i") == F.col("p")) & (F.col("l") == F.col("q"))).select("t", "l", "turn", "i").orderBy("turn", "l", "i", "t").limit(TRAIN_DOCS).collect()
     return [r["t"] for r in rows], [r["l"] for r in rows]
