@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ from sparkmine.llm.common import partitions, written
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Fingerprints that a task's subtree has on average at most, and node pairs opened at once.
 SUBTREE, CHUNK = 40_000, 1 << 18
+#: Numbers of rows that stay are broadcast up to so many.
+BROADCAST_ROWS = 1_000_000
 
 
 def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -213,14 +215,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for pdf in frames:
             yield pdf.assign(_simhash_fp=np.array([text_fingerprint(t, shingle) for t in pdf[text_col]], dtype=np.int64))
 
-    marked = written(docs.mapInPandas(make, T.StructType([*docs.schema.fields, T.StructField("_simhash_fp", T.LongType())])))
+    hashed = docs.mapInPandas(make, T.StructType([*docs.schema.fields, T.StructField("_simhash_fp", T.LongType())]))
+    marked = written(hashed.withColumn("_simhash_row", F.monotonically_increasing_id()))
     groups = groups_of(marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_simhash_fp").alias("fp")), bits)
-    pairs = marked.groupBy("_simhash_fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"))).alias("at"))
-    stays = pairs.join(groups, F.col("_simhash_fp") == F.col("fp")).groupBy("component").agg(F.min(F.struct("at", F.col("_simhash_fp").alias("f"))).alias("x")).select(F.col("x.at.id").alias("_simhash_id"), F.col("x.f").alias("_simhash_f"))
-    kept = marked.join(stays, (F.col("_simhash_fp") == F.col("_simhash_f")) & F.col(id_col).eqNullSafe(F.col("_simhash_id")), "left_semi")
-    # rows of one id and one fingerprint: one of them
-    turn = Window.partitionBy("_simhash_fp", id_col).orderBy(text_col)
-    return kept.withColumn("_simhash_r", F.row_number().over(turn)).where("_simhash_r = 1").drop("_simhash_fp", "_simhash_r")
+    least = F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("_simhash_row").alias("row")))
+    pairs = marked.groupBy("_simhash_fp").agg(least.alias("at"))
+    stays = written(pairs.join(groups, F.col("_simhash_fp") == F.col("fp")).groupBy("component").agg(F.min("at").alias("at")).select(F.col("at.row").alias("_simhash_row")))
+    # one number per row that stays; few are broadcast, many are joined by shuffle
+    stays = F.broadcast(stays) if stays.count() <= BROADCAST_ROWS else stays
+    return marked.join(stays, "_simhash_row", "left_semi").drop("_simhash_fp", "_simhash_row")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
