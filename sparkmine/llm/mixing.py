@@ -29,6 +29,8 @@ WEIGHTS, CAP = (1, 2, 3), 3
 GOLDEN = 0.6180339887498949
 #: Hash buckets in which each source's documents are put in order.
 BUCKETS = 256
+#: Shares of rows are broadcast up to so many.
+BROADCAST_ROWS = 1_000_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -123,6 +125,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     keyed = docs.withColumn("_mix_key", F.xxhash64(F.col(id_col).cast("string"), text_col, source_col))
     taken = mix(keyed, "_mix_key", text_col, source_col, weights, cap, slots).where("size > 0").groupBy("doc_id").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_mix_times"))
     shares = written(taken.where("_mix_times > 0").withColumnRenamed("doc_id", "_mix_k"))
+    # a key and a number per row; few are broadcast, many are joined by shuffle
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_ROWS else shares
     return keyed.join(shares, F.col("_mix_key") == F.col("_mix_k")).withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).drop("_mix_key", "_mix_k", "_mix_times", "_mix_i")
 
 
