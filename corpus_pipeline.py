@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 read again as the next one's docs. All but the last return the columns of ``documents``:
 
 1. language ID: texts without a letter, or that no learned language fits, go; lang becomes the prediction.
-2. SimHash near-dedup: of each group of linked fingerprints the row with the least id stays.
+2. near-dedup: texts whose five-word shingle sets resemble each other by 0.8 or more are linked, every such pair; of each
+   group the row with the least id stays. Candidates come from SimHash tries and shared least shingles.
 3. secret scans: secrets in the texts are replaced by a mark, n_chars follows.
 4. mixing: rows are repeated or left out by the low-discrepancy schedule for weights 1, 2, 3, ... of the sources.
 5. packing: pieces of at most 2048 tokens, packed into sequences.
@@ -27,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each_similar(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

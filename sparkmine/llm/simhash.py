@@ -15,14 +15,16 @@ null id counts in no component's smallest id. An empty table gives an empty resu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkmine.llm import fingerprints as sketches
 from sparkmine.llm.common import partitions, written
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -226,6 +228,110 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(stays, "_simhash_row", "left_semi").drop("_simhash_fp", "_simhash_row")
 
 
+# ---- every pair from a resemblance on, for the pipeline ---------------------------------------------------------------
+
+#: Least resemblance of five-word shingle sets, as a fraction, from which two texts are near-duplicates.
+SIMILAR = (4, 5)
+_ALL = 1 << 60
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """All distinct hashes of a text's five-word shingles, ascending as signed 64-bit integers."""
+    return (sketches.sketch(text, _ALL) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = SIMILAR) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * (least[0] + least[1]) >= least[0] * (len(a) + len(b))
+
+
+def _prefix(n, least: tuple[int, int]):
+    """So many of its n least shingles that any similar set has one of them among its own; numbers or columns."""
+    most = n * least[0] + least[1] - 1
+    return n - (F.floor(most / least[1]) if isinstance(n, Column) else most // least[1]) + 1
+
+
+def _may_be_similar(pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """u, v of those (u, v, un, vn, ulast, vlast, one row per shared prefix shingle) that can still be similar.
+
+    Up to the smaller of both prefixes' ends all shared shingles are seen; beyond it, at most the rest is shared.
+    """
+    counted = pairs.groupBy("u", "v").agg(F.count("*").alias("seen"), *[F.first(c).alias(c) for c in ("un", "vn", "ulast", "vlast")])
+    rest = F.when(F.col("ulast") <= F.col("vlast"), F.col("un") - _prefix(F.col("un"), least)).otherwise(F.col("vn") - _prefix(F.col("vn"), least))
+    return counted.where((F.col("seen") + rest) * sum(least) >= (F.col("un") + F.col("vn")) * least[0]).select("u", "v")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) of rows whose texts (row, text) are similar, compared exactly."""
+    pairs = written(pairs.distinct())
+    asked = written(pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct())
+    some = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "row", "left_semi")
+    both = pairs.join(some.select(F.col("row").alias("u"), F.col("text").alias("a")), "u").join(some.select(F.col("row").alias("v"), F.col("text").alias("b")), "v")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.loc[[similar(shingle_set(a), shingle_set(b), least) for a, b in zip(pdf["a"], pdf["b"], strict=True)], ["u", "v"]]
+
+    return written(both.mapInPandas(compare, "u long, v long"))
+
+
+def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: tuple[int, int] = SIMILAR) -> DataFrame:
+    """docs with one row of each group of texts linked by a resemblance of least or more: that of the least id (a null
+    id last), with all its columns.
+
+    Equal shingle sets are reduced to one row. Candidates are the links of the tries and the pairs that share one of the
+    least shingles of both sets, of which every similar pair has one; all are compared exactly on whole sets. In the
+    first round a row is only held against the first row of each shingle, so that dense groups are one component before
+    the second round takes all pairs between components.
+    """
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            sets = [shingle_set(t) for t in pdf[text_col]]
+            yield pdf.assign(
+                _near_fp=np.array([text_fingerprint(t) for t in pdf[text_col]], dtype=np.int64),
+                _near_set=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                _near_n=np.array([len(s) for s in sets], dtype=np.int64),
+                _near_prefix=[s[: _prefix(len(s), least)] if len(s) else s for s in sets],
+            )
+
+    added = [("_near_fp", T.LongType()), ("_near_set", T.BinaryType()), ("_near_n", T.LongType()), ("_near_prefix", T.ArrayType(T.LongType()))]
+    hashed = docs.mapInPandas(make, T.StructType([*docs.schema.fields, *[T.StructField(*a) for a in added]]))
+    marked = written(hashed.withColumn("_near_row", F.monotonically_increasing_id()))
+    texts = marked.select(F.col("_near_row").alias("row"), F.col(text_col).alias("text"))
+
+    first = F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("_near_row").alias("row")))
+    sets = written(marked.groupBy("_near_set").agg(first.alias("at")).select("at", F.col("at.row").alias("row")))
+    heads = marked.select(F.col("_near_row").alias("row"), F.col("_near_fp").alias("fp"), F.col("_near_n").alias("n"), F.col("_near_prefix").alias("prefix")).join(sets.select("row"), "row", "left_semi")
+
+    by_shingle = Window.partitionBy("h")
+    shared = written(
+        heads.select("row", "n", F.try_element_at("prefix", F.lit(-1)).alias("last"), F.explode("prefix").alias("h"))
+        .withColumn("m", F.min(F.struct("row", "n", "last")).over(by_shingle))
+        .withColumn("sharing", F.count("*").over(by_shingle))
+        .where("sharing > 1")
+        .drop("sharing")
+    )
+    fits = lambda a, b: F.least(a, b) * least[1] >= F.greatest(a, b) * least[0]
+    stars = shared.where("row > m.row").where(fits(F.col("n"), F.col("m.n")))
+    stars = stars.select(F.col("m.row").alias("u"), F.col("row").alias("v"), F.col("m.n").alias("un"), F.col("n").alias("vn"), F.col("m.last").alias("ulast"), F.col("last").alias("vlast"))
+    one = written(heads.groupBy("fp").agg(F.min("row").alias("row")))
+    tries = links(one.select("fp")).where("fp <> root").distinct()
+    tries = tries.join(one.withColumnRenamed("row", "v"), "fp").join(one.select(F.col("fp").alias("root"), F.col("row").alias("u")), "root").select("u", "v")
+    near = _verified(_may_be_similar(stars, least).union(tries), texts, least)
+
+    label = connected(near)
+    apart = written(shared.join(label, F.col("row") == F.col("node"), "left").select("h", "row", "n", "last", F.coalesce("label", "row").alias("comp")))
+    a, b = (apart.select("h", *[F.col(c).alias(side + c) for c in ("row", "n", "last", "comp")]) for side in "uv")
+    between = a.join(b, "h").where((F.col("urow") < F.col("vrow")) & (F.col("ucomp") != F.col("vcomp")) & fits(F.col("un"), F.col("vn")))
+    rest = _verified(_may_be_similar(between.withColumnsRenamed({"urow": "u", "vrow": "v"}), least), texts, least)
+
+    label = connected(near.union(rest))
+    stays = written(sets.join(label, F.col("row") == F.col("node"), "left").groupBy(F.coalesce("label", "row")).agg(F.min("at").alias("at")).select(F.col("at.row").alias("_near_row")))
+    stays = F.broadcast(stays) if stays.count() <= BROADCAST_ROWS else stays
+    return marked.join(stays, "_near_row", "left_semi").select(*docs.columns)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -105,6 +105,50 @@ def test_one_of_each_hostile(hostile, empty):
     assert sorted(r["doc_id"] for r in got.where("doc_id is not null").collect()) == [0, 2, 5, 6, 7, 8, 9]
 
 
+def edited_texts(seed, originals=25, words=60):
+    """Texts and copies of them with one to four words changed: resemblances from 0.5 up."""
+    r = np.random.default_rng(seed)
+    texts = []
+    for _ in range(originals):
+        base = [f"w{x}" for x in r.integers(0, 3000, words)]
+        texts.append(" ".join(base))
+        for changed in (1, 1, 2, 3, 4):
+            copy = list(base)
+            for at in r.integers(0, words, changed):
+                copy[at] = f"v{r.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    return [texts[i] for i in r.permutation(len(texts))]
+
+
+def brute_similar(texts):
+    """Least index of each text's component under links of resemblance 0.8 on five-word shingle sets."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    comp = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    return comp
+
+
+def test_every_pair_from_the_threshold_on_is_linked(spark):
+    texts = edited_texts(3)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want = set(brute_similar(texts))
+    assert len(want) < 0.8 * len(texts)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
+def test_similar_of_the_table_and_hostile(sample, hostile, empty):
+    rows = sample.select("doc_id", "text").orderBy("doc_id").collect()
+    comp = brute_similar([(r["text"] or "").lower() for r in rows])
+    assert sorted(r["doc_id"] for r in simhash.one_of_each_similar(sample).collect()) == sorted(rows[c]["doc_id"] for c in set(comp))
+    got = simhash.one_of_each_similar(hostile)
+    assert got.columns == hostile.columns and simhash.one_of_each_similar(empty).count() == 0
+    assert sorted(r["doc_id"] for r in got.where("doc_id is not null").collect()) == [0, 2, 5, 6, 7, 8, 9]
+
+
 # ---- bottom-k --------------------------------------------------------------------------------------------------------
 
 
