@@ -4,7 +4,8 @@ The mix has as many words as all documents together. It is cut into equal slots;
 stretch of the cumulative weights the golden-ratio point frac(t * phi) falls, so that any run of slots holds the sources
 close to their shares. The slots of a source are ranked and joined, round after round, to the source's blocks: equal
 cuts of its documents, shuffled by a hash of their ids. A document's share of the mix is its overlap with the blocks
-taken, repeats counted.
+taken, repeats counted. A source that is small against a block is scheduled by single words, so that it meets its
+target too, however large the corpus is.
 
 Nulls: a null text has size 0, a null source is a source of its own, ordered last, and a null id is hashed as such.
 Empty texts take no part but keep their row. Repeated rows are documents of their own. An empty table gives an empty
@@ -24,6 +25,8 @@ from sparkmine.llm.common import WORD, written
 
 #: Slots of the whole schedule: the mix misses a target by a few of them at most, and a block has 1/SLOTS of all words.
 SLOTS = 1 << 17
+#: A source of fewer blocks is scheduled by single words instead: slots of that size would miss its target by percents.
+FINE = 1_000
 #: Weights of the sources by code point, null last, repeating; no source is taken more than CAP times its size.
 WEIGHTS, CAP = (1, 2, 3), 3
 GOLDEN = 0.6180339887498949
@@ -109,12 +112,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     known = sources.withColumnRenamed("source", "s")
     known = F.broadcast(known) if sources.count() <= 100_000 else known
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("words", block_words)
-    cut = placed.where("size > 0").select(
+    small = (F.col("words") > 1) & (F.col("source_size") < FINE * F.col("words"))
+    cut = placed.where("size > 0").where(~small).select(
         "row", "rank", "at", "size", "words", F.explode(F.sequence(F.floor(F.col("at") / F.col("words")), F.floor((F.col("at") + F.col("size") - 1) / F.col("words")))).alias("block")
     )
     overlap = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest(F.col("at"), F.col("block") * F.col("words"))
     taken = cut.join(schedule(sources, slots, cap), ["rank", "block"]).groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"))
-    return placed.join(taken, "row", "left").select("row", "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
+    # with blocks of one word, whole rounds take each word and the last round those in front
+    draws = F.round("target").cast("long")
+    last_round = F.least(F.greatest(draws % F.col("source_size") - F.col("at"), F.lit(0)), F.col("size"))
+    by_word = F.when(F.col("size") > 0, F.floor(draws / F.col("source_size")) * F.col("size") + last_round)
+    return placed.join(taken, "row", "left").select(
+        "row", "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce(F.when(small, by_word).otherwise(F.col("taken")), F.lit(0)).cast("long").alias("taken")
+    )
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, slots: int = SLOTS) -> DataFrame:

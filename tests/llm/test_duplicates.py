@@ -278,6 +278,18 @@ def test_mix_hostile(hostile, empty):
     assert mixing.repeated(hostile).columns == hostile.columns
 
 
+def test_tiny_sources_beside_a_huge_one_meet_their_targets(spark):
+    rows = [(i, "a", "w " * 2000) for i in range(1500)] + [(10_000 + i, "b", "w " * 10) for i in range(20)] + [(20_000 + i, "c", "w " * 20) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for slots in (mixing.SLOTS, 2000):  # blocks of 23 and 1,501 words
+        taken, target = {}, {}
+        for r in mixing.mix(docs, weights=(30_000, 1, 1), slots=slots).collect():
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+            target[r["source"]] = r["target"]
+        assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 1 for s in target), (taken, target)
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------------
 
 
