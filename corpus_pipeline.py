@@ -24,7 +24,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_known(docs, langid.fit(*langid.labelled_sample(docs)))
+    texts, langs = langid.labelled_sample(docs)
+    return langid.keep_known(docs, langid.fit(texts, langs), langid.least_score(texts, langs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

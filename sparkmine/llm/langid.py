@@ -26,8 +26,9 @@ from sparkmine.llm.common import worker_cache
 TRAIN_DOCS, PER_LANGUAGE, TRAIN_CHARS, LANDMARKS = 2400, 600, 20_000, 240
 ORDERS, HASH_BITS, RIDGE = (1, 2, 3, 4), 18, 1e-3
 UNKNOWN = "und"
-#: The pipeline keeps texts from this score on; 0.5 is where a language is as likely as not against the rest.
-LEAST_SCORE = 0.2
+#: Scores of labelled rows that a fit over the other FOLDS - 1 parts of the sample hasn't seen set the least score: all but
+#: this share of the rows it gets right are above it. 0.5, where a language is as likely as not against the rest, is the most.
+FOLDS, LOST = 3, 0.01
 
 
 def _letters() -> np.ndarray:
@@ -144,7 +145,18 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return rows.mapInPandas(score, f"{schema}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: dict, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+def least_score(texts: list[str], langs: list[str]) -> float:
+    """The score below which no learned language fits a text, from labelled rows."""
+    buffer, scores = np.zeros(1 << HASH_BITS, bool), []
+    for k in range(FOLDS):
+        seen = [i for i in range(len(texts)) if i % FOLDS != k]
+        rest = [i for i in range(len(texts)) if i % FOLDS == k]
+        found, score = predict([texts[i] for i in rest], fit([texts[i] for i in seen], [langs[i] for i in seen]), buffer)
+        scores += [s for i, name, s in zip(rest, found, score, strict=True) if name == langs[i]]
+    return min(0.5, float(np.quantile(scores, LOST))) if scores else 0.0
+
+
+def keep_known(docs: DataFrame, model: dict, least: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs whose language is recognised, with lang as predicted; texts without a letter, or that no language fits, go."""
     carried = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparkmine.llm import langid, pii, secrets, urls
 
 
@@ -173,3 +174,21 @@ def test_language_hostile(hostile, empty):
     assert [got[i]["lang_pred"] for i in (2, 3, 4, 9)] == ["und"] * 4 and all(0 <= r["score"] <= 1 for r in got.values())
     assert langid.identify(empty, langid.fit(*langid.labelled_sample(empty))).count() == 0
     assert {r["lang_pred"] for r in langid.identify(hostile, langid.fit([], [])).collect()} == {"und"}
+
+
+FOREIGN = [
+    "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+    "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心",
+    "все люди рождаются свободными и равными в своем достоинстве и правах",
+    "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+    "qzx wvkj xqpf zzkw jvq pxw kqzj wqv fxzk jqx vvkp zqw xjk qpz wkx",
+]
+
+
+def test_texts_that_no_language_fits_go_and_labelled_ones_stay(spark, sample):
+    foreign = sample.limit(1).crossJoin(spark.createDataFrame([(1_000_000 + i, t) for i, t in enumerate(FOREIGN)], "new long, other string"))
+    docs = sample.unionByName(foreign.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.col("other")).drop("new", "other"))
+    kept = corpus_pipeline.language_id(spark, docs, "").select("doc_id", "text").collect()
+    assert not {r["text"] for r in kept} & set(FOREIGN)
+    assert sum(r["doc_id"] is not None for r in kept) >= 0.97 * sample.count()
