@@ -2,48 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkmine import lineage
+
 #: One word of a text: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch of texts, at most; Spark's own limits, 10,000 rows and 64 MB, leave that to the texts.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests), a local one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='sparkmine-')}"
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/sparkmine-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir; a local one only under a local master (tests) where that is unset."""
+    return lineage.new_folder(spark)
 
 
 def written(df: DataFrame, folder: str | None = None, codec: str = "snappy") -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    folder = folder or shared_folder(spark)
-    df.write.mode("overwrite").option("compression", codec).parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return lineage.cut(df, folder, codec)
 
 
-def drop_table(spark: SparkSession, folder: str) -> None:
-    """Deletes a table that written() made and nothing will read again."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def worker_cache(owner: str) -> dict:
+    """A dict that lives as long as the Python worker, across the tasks of one owner; another owner's is let go first."""
+    import pyspark
 
+    held = pyspark.__dict__.setdefault("_sparkmine_worker_cache", {})
+    if held.get("owner") != owner:
+        held.clear()
+        held["owner"] = owner
+    return held
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, across its tasks."""
-    import pyspark
 
-    return pyspark.__dict__.setdefault("_sparkmine_worker_cache", {})
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs; the session's Arrow batches are held to BATCH_BYTES from now on, so that workers' memory doesn't depend on how long
+    texts are. A lower limit of the session's own stays."""
+    spark = docs.sparkSession
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
 
 
 def partitions(spark: SparkSession) -> int:

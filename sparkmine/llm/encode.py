@@ -16,8 +16,8 @@ import numpy as np
 #: White space other than space and newline, as str.split() takes it.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-#: Units in one generation of the store; two are held, and longer units aren't kept.
-KEPT, LONGEST = 600_000, 40
+#: Bytes of one generation of the store, about; two are held, and longer units aren't kept. ENTRY: what Python takes beside.
+KEPT, LONGEST, ENTRY = 40 << 20, 40, 200
 #: What may end a unit behind a letter or digit; the pre-tokenizer always cuts before it.
 _ENDS = ".,;:!?\"#$%&*()[]{}/+-=_~^`@"
 
@@ -50,7 +50,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = byte_letters()
-        self.kept, self.older = _Store(self.unit), {}
+        self.kept, self.older, self.held = _Store(self.unit), {}, 0
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -73,20 +73,23 @@ class Encoder:
                 raw = array(self.code, self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
         if len(unit) <= LONGEST:
             self.kept[unit] = raw
+            self.held += ENTRY + len(unit) + len(raw)
         return raw
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.kept) > KEPT:
-            self.older, self.kept = dict(self.kept), _Store(self.unit)
-        get = self.kept.__getitem__
-        return [b"".join(map(get, self.units(t or ""))) for t in texts]
+        out = []
+        for t in texts:
+            if self.held > KEPT:
+                self.older, self.kept, self.held = self.kept, _Store(self.unit), 0
+            out.append(b"".join(map(self.kept.__getitem__, self.units(t or ""))))
+        return out
 
 
 def encoder(path: str) -> Encoder:
     """The worker's own; a tokenizer is loaded once per worker."""
     from sparkmine.llm.common import worker_cache
 
-    cache = worker_cache()
+    cache = worker_cache("encode")
     if ("encoder", path) not in cache:
         cache["encoder", path] = Encoder(path)
     return cache["encoder", path]

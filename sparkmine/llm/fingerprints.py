@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmine.llm.common import partitions, range_bounds, range_shard
+from sparkmine.llm.common import bounded, partitions, range_bounds, range_shard
 
 K, SHINGLE, SEED = 64, 5, 42
 
@@ -88,7 +88,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     After the last comes the first. Bounds are values that occur, so a shard's first id is its bound; only ids are read
     to find them, and texts are shuffled once.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = docs.agg(F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
     least = None if first["nulls"] else first["least"]
     bounds = [b for b in range_bounds(docs, "doc_id", partitions(docs.sparkSession)) if least is None or b > least]

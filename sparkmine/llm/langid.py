@@ -21,8 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkmine.llm.common import worker_cache
+from sparkmine.llm.common import bounded, worker_cache
 
+#: Every code point: chr(0x10FFFF) is the last.
+POINTS = 0x110000
 TRAIN_DOCS, PER_LANGUAGE, TRAIN_CHARS, LANDMARKS = 2400, 600, 20_000, 240
 ORDERS, HASH_BITS, RIDGE = (1, 2, 3, 4), 18, 1e-3
 UNKNOWN = "und"
@@ -32,17 +34,16 @@ FOLDS, LOST = 3, 0.01
 
 
 def _letters() -> np.ndarray:
-    cache = worker_cache()
+    cache = worker_cache("langid")
     if "letters" not in cache:
-        cache["letters"] = np.array([chr(c).isalpha() for c in range(0x30000)])
+        cache["letters"] = np.fromiter((chr(c).isalpha() for c in range(POINTS)), bool, POINTS)
     return cache["letters"]
 
 
 def presences(text: str | None, buffer: np.ndarray) -> np.ndarray | None:
     """Hashed n-grams that a text holds, ascending; None without a letter. Anything but letters counts as one blank."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    table = _letters()
-    letter = table[np.minimum(points, len(table) - 1).astype(np.int64)] | (points >= len(table))
+    letter = _letters()[points.astype(np.int64)]
     if not letter.any():
         return None
     points = np.where(letter, points, np.uint64(32))
@@ -60,7 +61,7 @@ def presences(text: str | None, buffer: np.ndarray) -> np.ndarray | None:
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
-    """The folded model: languages, n-gram -> row (or -1), and the matrix of rows by languages."""
+    """The folded model: languages, n-gram -> row (or -1: the last, of zeros), and the matrix of rows by languages."""
     buffer = np.zeros(1 << HASH_BITS, bool)
     pairs = [(p, lang) for t, lang in zip(texts, langs, strict=True) if (p := presences(t, buffer)) is not None]
     names = sorted({lang for _, lang in pairs})
@@ -89,26 +90,39 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     bias = np.ones((len(feats), 1))
     z = np.concatenate([feats, bias], 1)
     solved = np.linalg.solve(z.T @ (z * weight[:, None]) + ridge * len(z) * np.eye(z.shape[1]), z.T @ (truth * weight[:, None]))
-    return {"names": names, "row": row, "matrix": (base.T @ (root @ solved[:-1])).astype(np.float32), "bias": solved[-1]}
+    matrix = (base.T @ (root @ solved[:-1])).astype(np.float32)
+    return {"names": names, "row": row, "matrix": np.concatenate([matrix, np.zeros((1, len(names)), np.float32)]), "bias": solved[-1]}
 
 
-def predict(texts: list[str | None], model: dict, buffer: np.ndarray, batch: int = 128) -> tuple[list[str], np.ndarray]:
+def predict(texts: list[str | None], model: dict, buffer: np.ndarray, batch: int = 1 << 18) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text. A batch's presences, batch of them or one text's, are a sparse matrix of equal
+    values per row; its product with the model sums the model's rows of each text."""
     names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if not model["names"]:
         return names, score
     row, matrix = model["row"], model["matrix"]
-    for a in range(0, len(texts), batch):
-        part = [presences(t, buffer) for t in texts[a : a + batch]]
-        dense = np.zeros((len(part), len(matrix)), np.float32)
-        for i, p in enumerate(part):
-            if p is not None:
-                at = row[p]
-                dense[i, at[at >= 0]] = 1 / np.sqrt(len(p))
-        f = dense @ matrix + model["bias"]
-        best = f.argmax(1)
-        for i, p in enumerate(part):
-            if p is not None:
-                names[a + i], score[a + i] = model["names"][best[i]], min(1.0, max(0.0, (1 + f[i, best[i]]) / 2))
+    waiting: list[tuple[int, np.ndarray, float]] = []
+    size = 0
+
+    def product() -> None:
+        at = np.concatenate([x for _, x, _ in waiting])
+        starts = np.cumsum([0, *[len(x) for _, x, _ in waiting[:-1]]])
+        f = np.add.reduceat(matrix[at], starts, axis=0) / np.array([[n] for _, _, n in waiting], np.float32) + model["bias"]
+        for (i, _, _), best, values in zip(waiting, f.argmax(1).tolist(), f, strict=True):
+            names[i], score[i] = model["names"][best], min(1.0, max(0.0, (1 + values[best]) / 2))
+
+    for i, t in enumerate(texts):
+        p = presences(t, buffer)
+        if p is None:
+            continue
+        # the last row of the matrix is zero: what no landmark holds, and texts without any known n-gram
+        waiting.append((i, row[p], np.sqrt(len(p))))
+        size += len(p)
+        if size >= batch:
+            product()
+            waiting, size = [], 0
+    if waiting:
+        product()
     return names, score
 
 
@@ -140,7 +154,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             names, s = predict(pdf["_text"].tolist(), carried.value, buffer)
             yield pdf.drop(columns="_text").assign(lang_pred=names, score=s)
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = bounded(docs).select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
     return rows.mapInPandas(score, f"{schema}, lang_pred string, score double")
 
@@ -167,7 +181,7 @@ def keep_known(docs: DataFrame, model: dict, least: float, text_col: str = "text
             pdf = pdf.assign(**{lang_col: names})
             yield pdf[(pdf[lang_col] != UNKNOWN) & (score >= least)]
 
-    return docs.mapInPandas(keep, docs.schema)
+    return bounded(docs).mapInPandas(keep, docs.schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

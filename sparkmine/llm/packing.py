@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkmine.llm.common import partitions, written
+from sparkmine.llm.common import bounded, partitions, written
 from sparkmine.llm.encode import batches, encoder
 
 WINDOW = 2048
@@ -143,7 +143,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_c
                     nth += full
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in PARTS.split(", ")]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(make, PARTS)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(make, PARTS)
 
 
 def pack(parts: DataFrame, window: int = WINDOW) -> DataFrame:

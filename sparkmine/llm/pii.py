@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmine.llm.common import worker_cache
+from sparkmine.llm.common import bounded, worker_cache
 
 KINDS = ("email", "ip", "card", "phone", "ssn")
 #: Labels of the field: O, then beginning and inside of each kind.
@@ -84,7 +84,7 @@ def features(shapes: list[str], tight: list[bool]) -> np.ndarray:
     """Feature ids of each token of a window; tight: whether no white space stands before the token. Id 0 is none."""
     padded = ["^", "^", "^", *shapes, "$", "$", "$"]
     glue = [False, False, False, *tight, False, False, False, False]
-    memo, out = worker_cache().setdefault("pii_features", {}), []
+    memo, out = worker_cache("pii").setdefault("features", {}), []
     for i in range(3, len(shapes) + 3):
         key = (*padded[i - 3 : i + 4], *glue[i - 1 : i + 3])
         got = memo.get(key)
@@ -319,7 +319,7 @@ def find(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
                     rows.append((key, *(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(joined(b).encode()).hexdigest(), joined(spans), len(spans) - len(b)))
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(scan, OUT)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(scan, OUT)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmine.llm import fingerprints as sketches
-from sparkmine.llm.common import partitions, written
+from sparkmine.lineage import drop
+from sparkmine.llm.common import bounded, partitions, written
+from sparkmine.llm.encode import batches
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Fingerprints that a task's subtree has on average at most, and node pairs opened at once.
@@ -58,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for pdf in frames:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array([text_fingerprint(t, shingle) for t in pdf["text"]], dtype=np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(make, "doc_id long, fp long")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(make, "doc_id long, fp long")
 
 
 class _Components:
@@ -187,7 +189,9 @@ def connected(edges: DataFrame) -> DataFrame:
         new = written(small)
         # a star forest that no longer changes: same edges as before
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
+            drop(edges)
             return new.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        drop(edges)
         edges = new
 
 
@@ -232,6 +236,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Least resemblance of five-word shingle sets, as a fraction, from which two texts are near-duplicates.
 SIMILAR = (4, 5)
+#: Texts whose shingles are counted to find common ones, how many of them must hold a common one, and common ones known at most.
+#: They come last in the order of shingles: any one order gives the same pairs, only the number of candidates differs.
+COUNTED, COMMON, KNOWN = 4096, 8, 1 << 18
 _ALL = 1 << 60
 
 
@@ -246,22 +253,46 @@ def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = SIMILAR) -> b
 
 
 def _prefix(n, least: tuple[int, int]):
-    """So many of its n least shingles that any similar set has one of them among its own; numbers or columns."""
+    """So many of its n first shingles that any similar set has one of them among its own; numbers or columns."""
     most = n * least[0] + least[1] - 1
     return n - (F.floor(most / least[1]) if isinstance(n, Column) else most // least[1]) + 1
 
 
+def ordered_prefix(s: np.ndarray, common: np.ndarray, least: tuple[int, int] = SIMILAR) -> np.ndarray:
+    """The first shingles of a set, common ones (ascending) last."""
+    if not len(s):
+        return s
+    k = _prefix(len(s), least)
+    if len(common):
+        known = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+        s = np.concatenate([s[~known], s[known]])
+    return s[:k]
+
+
+def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Shingles that COMMON or more of about COUNTED distinct texts hold: KNOWN at most, the commonest."""
+    some = docs.select(F.col(text_col).alias("text")).sample(min(1.0, COUNTED / max(1, docs.count())), SEED).distinct()
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for t in pdf["text"]:
+                yield pd.DataFrame({"h": shingle_set(t)})
+
+    held = some.mapInPandas(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    return np.array(sorted(r["h"] for r in held.orderBy(F.desc("n"), "h").limit(KNOWN).collect()), np.int64)
+
+
 def _may_be_similar(pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """u, v of those (u, v, un, vn, ulast, vlast, one row per shared prefix shingle) that can still be similar.
+    """u, v of those (u, v, un, vn, one row per shared prefix shingle) that can still be similar.
 
-    Up to the smaller of both prefixes' ends all shared shingles are seen; beyond it, at most the rest is shared.
+    Up to where the shorter of both prefixes ends all shared shingles are seen; beyond it, at most that set's rest is shared.
     """
-    counted = pairs.groupBy("u", "v").agg(F.count("*").alias("seen"), *[F.first(c).alias(c) for c in ("un", "vn", "ulast", "vlast")])
-    rest = F.when(F.col("ulast") <= F.col("vlast"), F.col("un") - _prefix(F.col("un"), least)).otherwise(F.col("vn") - _prefix(F.col("vn"), least))
+    counted = pairs.groupBy("u", "v").agg(F.count("*").alias("seen"), *[F.first(c).alias(c) for c in ("un", "vn")])
+    rest = F.greatest(*[F.col(c) - _prefix(F.col(c), least) for c in ("un", "vn")])
     return counted.where((F.col("seen") + rest) * sum(least) >= (F.col("un") + F.col("vn")) * least[0]).select("u", "v")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int], made: list[DataFrame]) -> DataFrame:
     """The pairs (u, v) of rows whose texts (row, text) are similar, compared exactly."""
     pairs = written(pairs.distinct())
     asked = written(pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct())
@@ -272,7 +303,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> Dat
         for pdf in frames:
             yield pdf.loc[[similar(shingle_set(a), shingle_set(b), least) for a, b in zip(pdf["a"], pdf["b"], strict=True)], ["u", "v"]]
 
-    return written(both.mapInPandas(compare, "u long, v long"))
+    found = written(both.mapInPandas(compare, "u long, v long"))
+    made += [pairs, asked, found]
+    return found
 
 
 def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -280,20 +313,25 @@ def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id last), with all its columns.
 
     Equal shingle sets are reduced to one row. Candidates are the links of the tries and the pairs that share one of the
-    least shingles of both sets, of which every similar pair has one; all are compared exactly on whole sets. In the
+    first shingles of both sets, of which every similar pair has one; all are compared exactly on whole sets. In the
     first round a row is only held against the first row of each shingle, so that dense groups are one component before
-    the second round takes all pairs between components.
+    the second round takes the pairs between components. Common shingles are last in the order, so that a passage
+    that many texts hold makes candidates only of texts that hold little else.
     """
+    docs = bounded(docs)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            sets = [shingle_set(t) for t in pdf[text_col]]
-            yield pdf.assign(
-                _near_fp=np.array([text_fingerprint(t) for t in pdf[text_col]], dtype=np.int64),
-                _near_set=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                _near_n=np.array([len(s) for s in sets], dtype=np.int64),
-                _near_prefix=[s[: _prefix(len(s), least)] if len(s) else s for s in sets],
-            )
+            for a, b in batches(pdf[text_col].tolist()):
+                part = pdf.iloc[a:b]
+                sets = [shingle_set(t) for t in part[text_col]]
+                yield part.assign(
+                    _near_fp=np.array([text_fingerprint(t) for t in part[text_col]], dtype=np.int64),
+                    _near_set=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                    _near_n=np.array([len(s) for s in sets], dtype=np.int64),
+                    _near_prefix=[ordered_prefix(s, common.value, least) for s in sets],
+                )
 
     added = [("_near_fp", T.LongType()), ("_near_set", T.BinaryType()), ("_near_n", T.LongType()), ("_near_prefix", T.ArrayType(T.LongType()))]
     hashed = docs.mapInPandas(make, T.StructType([*docs.schema.fields, *[T.StructField(*a) for a in added]]))
@@ -302,32 +340,37 @@ def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     first = F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("_near_row").alias("row")))
     sets = written(marked.groupBy("_near_set").agg(first.alias("at")).select("at", F.col("at.row").alias("row")))
-    heads = marked.select(F.col("_near_row").alias("row"), F.col("_near_fp").alias("fp"), F.col("_near_n").alias("n"), F.col("_near_prefix").alias("prefix")).join(sets.select("row"), "row", "left_semi")
+    heads = marked.select(F.col("_near_row").alias("row"), F.col("_near_fp").alias("fp"), F.col("_near_n").alias("n"), F.col("_near_prefix").alias("prefix"))
+    heads = heads.join(F.broadcast(sets.select("row")) if sets.count() <= BROADCAST_ROWS else sets.select("row"), "row", "left_semi")
+    made = [sets]
 
     by_shingle = Window.partitionBy("h")
     shared = written(
-        heads.select("row", "n", F.try_element_at("prefix", F.lit(-1)).alias("last"), F.explode("prefix").alias("h"))
-        .withColumn("m", F.min(F.struct("row", "n", "last")).over(by_shingle))
+        heads.select("row", "n", F.explode("prefix").alias("h"))
+        .withColumn("m", F.min(F.struct("row", "n")).over(by_shingle))
         .withColumn("sharing", F.count("*").over(by_shingle))
         .where("sharing > 1")
         .drop("sharing")
     )
     fits = lambda a, b: F.least(a, b) * least[1] >= F.greatest(a, b) * least[0]
     stars = shared.where("row > m.row").where(fits(F.col("n"), F.col("m.n")))
-    stars = stars.select(F.col("m.row").alias("u"), F.col("row").alias("v"), F.col("m.n").alias("un"), F.col("n").alias("vn"), F.col("m.last").alias("ulast"), F.col("last").alias("vlast"))
+    stars = stars.select(F.col("m.row").alias("u"), F.col("row").alias("v"), F.col("m.n").alias("un"), F.col("n").alias("vn"))
     one = written(heads.groupBy("fp").agg(F.min("row").alias("row")))
     tries = links(one.select("fp")).where("fp <> root").distinct()
     tries = tries.join(one.withColumnRenamed("row", "v"), "fp").join(one.select(F.col("fp").alias("root"), F.col("row").alias("u")), "root").select("u", "v")
-    near = _verified(_may_be_similar(stars, least).union(tries), texts, least)
+    near = _verified(_may_be_similar(stars, least).union(tries), texts, least, made)
 
     label = connected(near)
-    apart = written(shared.join(label, F.col("row") == F.col("node"), "left").select("h", "row", "n", "last", F.coalesce("label", "row").alias("comp")))
-    a, b = (apart.select("h", *[F.col(c).alias(side + c) for c in ("row", "n", "last", "comp")]) for side in "uv")
+    apart = written(shared.join(label, F.col("row") == F.col("node"), "left").select("h", "row", "n", F.coalesce("label", "row").alias("comp")))
+    drop(shared, one)
+    a, b = (apart.select("h", *[F.col(c).alias(side + c) for c in ("row", "n", "comp")]) for side in "uv")
     between = a.join(b, "h").where((F.col("urow") < F.col("vrow")) & (F.col("ucomp") != F.col("vcomp")) & fits(F.col("un"), F.col("vn")))
-    rest = _verified(_may_be_similar(between.withColumnsRenamed({"urow": "u", "vrow": "v"}), least), texts, least)
+    rest = _verified(_may_be_similar(between.withColumnsRenamed({"urow": "u", "vrow": "v"}), least), texts, least, made)
+    drop(apart)
 
     label = connected(near.union(rest))
     stays = written(sets.join(label, F.col("row") == F.col("node"), "left").groupBy(F.coalesce("label", "row")).agg(F.min("at").alias("at")).select(F.col("at.row").alias("_near_row")))
+    drop(*made)
     stays = F.broadcast(stays) if stays.count() <= BROADCAST_ROWS else stays
     return marked.join(stays, "_near_row", "left_semi").select(*docs.columns)
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmine.llm.common import partitions, range_bounds, range_shard, shared_folder
+from sparkmine.llm.common import bounded, partitions, range_bounds, range_shard, shared_folder
 from sparkmine.llm.encode import batches, encoder
 
 #: Training sample: so many documents of least hash, of at most so many characters (only for the dictionary; all are encoded).
@@ -51,7 +51,7 @@ def _zdict(data: bytes):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text, appends end_id, and writes the file set."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def serialize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)

@@ -24,7 +24,7 @@ def test_units_give_the_library_s_ids(parts):
 def test_whole_texts_and_store_turnover(sample, monkeypatch):
     import sparkmine.llm.encode as encode
 
-    monkeypatch.setattr(encode, "KEPT", 500)
+    monkeypatch.setattr(encode, "KEPT", 100_000)
     enc = Encoder(PATH)
     texts = [r["text"] for r in sample.select("text").limit(40).collect()]
     for i in range(0, 40, 5):
