@@ -1,12 +1,17 @@
 """URL filters: host and path rules, then a template tree per host, in DataFrame operations only.
 
 Each host's paths form a tree of segments. Digits in a segment are a slot at once; a level whose distinct segments are
-many for its urls becomes a wildcard; sibling branches whose labelled shares a homogeneity test can't tell apart are
-merged into one. What remains are templates, and a template whose smoothed share of bad labels is over the limit is
-rejected. The share is smoothed towards its host's, and the host's towards that of all labelled urls.
+many for its urls becomes a wildcard. Of other siblings the labelled ones are agglomerated: in order of their share of
+bad labels (smoothed towards their parent's, in BINS steps), each joins the cluster before it unless a test of two
+proportions tells them apart. A cluster of all siblings is a wildcard, one of several is named by its least segment and
+the number of others (``?news+2``), which no path can hold. Siblings without labels stay by themselves. What remains are
+templates, and a template whose smoothed share of bad labels is over the limit is rejected. The share is smoothed
+towards its host's, and the host's towards that of all labelled urls.
 
 Pages are first added up by host and path with slots, so the tree is built on far fewer rows than there are pages, and a
-hot host's rows are summed before they are shuffled.
+hot host's rows are summed before they are shuffled. Siblings meet as at most BINS sums per parent, whatever their
+number. The tree is as deep as its paths: a row takes part as long as others share its template so far, and levels that
+all rows of a parent share are passed over at once.
 
 A null url, or one without ``://``, has an empty host and path; so it fits no rule and falls to the template of the
 empty host. Repeated rows keep their rows. An empty table gives an empty result; without labels nothing is rejected by
@@ -16,6 +21,7 @@ the tree. Extra columns are ignored.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +29,12 @@ from pyspark.sql import functions as F
 from sparkmine.llm.common import written
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Levels of the tree; what lies deeper is one segment.
-DEPTH = 5
 #: A level is a wildcard from so many distinct segments on, if they are at least this share of its urls.
 VARIABLE, VARIETY = 8, 0.2
-#: Normal quantile of the homogeneity test for merging siblings, the weight of the smoothing, and the limit to reject.
-QUANTILE, SMOOTHING, LIMIT = 1.645, 10.0, 0.5
+#: Normal quantile of the test that keeps siblings apart, steps and weight of their smoothed shares.
+QUANTILE, BINS, WEIGHT = 1.645, 64, 4.0
+#: Weight of the smoothing of a template's share, and the limit to reject.
+SMOOTHING, LIMIT = 10.0, 0.5
 #: Verdicts of templates are broadcast up to so many rows; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -50,49 +56,83 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return found
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments, digits as slots; from the last level on they are one."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#"), "/")
-    return F.when(F.size(parts) <= depth, parts).otherwise(F.concat(F.slice(parts, 1, depth - 1), F.array(F.lit("**"))))
+def segments(path: Column) -> Column:
+    """The path's segments, digits as slots."""
+    return F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#"), "/")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, written; broadcast up to BROADCAST_ROWS rows."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _summed(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
+_CLUSTER = "array<struct<high: int, labelled: double, bad: double, kinds: bigint, first: string>>"
+
+
+def agglomerated(bins: Column) -> Column:
+    """Clusters of adjacent bins, ascending; bins: array of structs as in _CLUSTER, high being a bin's own number."""
+
+    def join(clusters: Column, x: Column) -> Column:
+        last = F.element_at(clusters, -1)
+        every = last["labelled"] + x["labelled"]
+        rate = (last["bad"] + x["bad"]) / every
+        apart = last["bad"] / last["labelled"] - x["bad"] / x["labelled"]
+        alike = apart * apart <= QUANTILE * QUANTILE * rate * (1 - rate) * (1 / last["labelled"] + 1 / x["labelled"])
+        both = F.struct(x["high"].alias("high"), every.alias("labelled"), (last["bad"] + x["bad"]).alias("bad"), (last["kinds"] + x["kinds"]).alias("kinds"), F.least(last["first"], x["first"]).alias("first"))
+        return F.when(F.size(clusters) == 0, F.array(x)).when(alike, F.concat(F.slice(clusters, 1, F.size(clusters) - 1), F.array(both))).otherwise(F.concat(clusters, F.array(x)))
+
+    return F.aggregate(bins, F.array().cast(_CLUSTER), join)
+
+
+def renamed(children: DataFrame) -> DataFrame:
+    """host, parent, segment, name: what a level's segments become, those that change.
+
+    children: host, parent, segment, n, labelled, bad, one row each.
+    """
+    nodes = children.groupBy("host", "parent").agg(F.count("*").alias("all_kinds"), F.sum("n").alias("total"), F.try_divide(F.sum("bad"), F.sum("labelled")).alias("rate"))
+    nodes = nodes.withColumn("variable", (F.col("all_kinds") >= VARIABLE) & (F.col("all_kinds") >= VARIETY * F.col("total"))).where("all_kinds > 1")
+    at = children.join(nodes, ["host", "parent"])
+    smooth = (F.col("bad") + WEIGHT * F.col("rate")) / (F.col("labelled") + WEIGHT)
+    at = at.withColumn("bin", F.when((F.col("labelled") > 0) & ~F.col("variable"), F.least(F.floor(smooth * BINS), F.lit(BINS - 1)).cast("int")))
+    sums = at.where("bin is not null").groupBy("host", "parent", "all_kinds", "bin").agg(F.sum("labelled").cast("double").alias("labelled"), F.sum("bad").alias("bad"), F.count("*").alias("kinds"), F.min("segment").alias("first"))
+    each = F.struct(F.col("bin").alias("high"), "labelled", "bad", "kinds", "first")
+    merged = sums.groupBy("host", "parent", "all_kinds").agg(agglomerated(F.array_sort(F.collect_list(each)).cast(_CLUSTER)).alias("clusters"))
+    name = lambda x: F.when(x["kinds"] == F.col("all_kinds"), F.lit("*")).otherwise(F.concat(F.lit("?"), x["first"], F.lit("+"), (x["kinds"] - 1).cast("string")))
+    merged = merged.select("host", "parent", F.transform("clusters", lambda x: F.struct(x["high"].alias("high"), F.when(x["kinds"] > 1, name(x)).alias("name"))).alias("clusters"))
+    found = at.join(merged, ["host", "parent"], "left").withColumn("cluster", F.get(F.filter("clusters", lambda x: x["high"] >= F.col("bin")), F.lit(0)))
+    return found.select("host", "parent", "segment", F.when(F.col("variable"), F.lit("*")).otherwise(F.col("cluster.name")).alias("name")).where("name is not null")
+
+
+def templates(urls: DataFrame) -> DataFrame:
     """host, path_key, template, n, labelled, bad, share, rejected: one row per host and path with slots.
 
     urls: host, path_key (array of segments), n, labelled, bad: one row per host and path key.
     """
-    tree = urls.withColumn("template", F.col("path_key"))
-    for level in range(1, depth + 1):  # a fixed number of levels, each over the summed rows
-        here = F.col("template")
-        parent, segment = F.slice(here, 1, level - 1), F.try_element_at(here, F.lit(level))
-        at = tree.withColumn("parent", parent).withColumn("segment", segment)
-        children = _summed(at.where(F.col("segment").isNotNull()), "host", "parent", "segment")
-        rate = F.try_divide(F.sum("bad"), F.sum("labelled"))
-        # Pearson's statistic for equal shares among the labelled siblings: sum (bad - n r)^2 / (n r (1 - r))
-        nodes = children.groupBy("host", "parent").agg(
-            F.count("*").alias("kinds"),
-            F.sum("n").alias("total"),
-            F.sum(F.when(F.col("labelled") > 0, F.try_divide(F.col("bad") * F.col("bad"), F.col("labelled")))).alias("squares"),
-            F.sum("bad").alias("all_bad"),
-            F.sum("labelled").alias("all_labelled"),
-            F.count(F.when(F.col("labelled") > 0, 1)).alias("seen"),
-            rate.alias("rate"),
-        )
-        chi = F.try_divide(F.col("squares") - F.col("all_bad") * F.col("rate"), F.col("rate") * (1 - F.col("rate")))
-        freedom = F.greatest(F.col("seen") - 1, F.lit(1)).cast("double")
-        # Wilson and Hilferty: chi-squared quantile from the normal one
-        critical = freedom * F.pow(1 - 2 / (9 * freedom) + QUANTILE * F.sqrt(2 / (9 * freedom)), 3)
-        alike = (F.col("seen") >= 2) & F.when((F.col("rate") > 0) & (F.col("rate") < 1), chi <= critical).otherwise(True)
-        variable = (F.col("kinds") >= VARIABLE) & (F.col("kinds") >= VARIETY * F.col("total"))
-        wild = nodes.where((F.col("kinds") > 1) & (variable | alike)).select(F.col("host").alias("h"), F.col("parent").alias("p"))
-        joined = at.join(wild, (F.col("host") == F.col("h")) & (F.col("parent") == F.col("p")), "left")
-        merged = F.concat(F.col("parent"), F.array(F.lit("*")), F.slice(here, level + 1, depth))
-        tree = joined.withColumn("template", F.when(F.col("h").isNotNull() & F.col("segment").isNotNull(), merged).otherwise(here)).select("host", "path_key", "template", "n", "labelled", "bad")
-    tree = written(tree)
+    columns = ("host", "path_key", "template", "n", "labelled", "bad")
+    rows = urls.withColumn("template", F.col("path_key")).withColumn("at", F.lit(0)).select(*columns, "at")
+    done = []
+    while True:  # a round per branching on a path: what all rows of a parent share is passed over at once
+        groups = rows.groupBy("host", F.slice("template", 1, F.col("at")).alias("head")).agg(F.min("template").alias("low"), F.max("template").alias("high"), F.count("*").alias("rows"))
+        upto = F.least(F.size("low"), F.size("high"))
+        differ = F.filter(F.sequence(F.lit(0), upto), lambda i: ~F.get("low", i).eqNullSafe(F.get("high", i)))
+        groups = _small(groups.where("rows > 1").select(F.col("host").alias("h"), "head", F.coalesce(F.get(differ, F.lit(0)), upto).alias("same")))
+        here = rows.join(groups, (F.col("host") == F.col("h")) & (F.slice("template", 1, F.col("at")) == F.col("head")), "left")
+        here = written(here.withColumn("branches", F.coalesce(F.size("template") > F.col("same"), F.lit(False))).select(*columns, "same", "branches"))
+        done.append(here.where("not branches").select(*columns))
+        at = here.where("branches").select(*columns, "same", F.slice("template", 1, F.col("same")).alias("parent"), F.get("template", F.col("same")).alias("segment"))
+        if at.isEmpty():
+            break
+        # a row per segment that changes; joined by segments and not by hosts alone
+        names = _small(renamed(_summed(at, "host", "parent", "segment")).withColumnsRenamed({"host": "h", "parent": "p", "segment": "s"}))
+        joined = at.join(names, (F.col("host") == F.col("h")) & (F.col("parent") == F.col("p")) & (F.col("segment") == F.col("s")), "left")
+        new = F.concat(F.col("parent"), F.array("name"), F.slice("template", F.col("same") + 2, F.size("template")))
+        rows = written(joined.withColumn("template", F.when(F.col("name").isNotNull(), new).otherwise(F.col("template"))).select(*columns, (F.col("same") + 1).alias("at")))
+    tree = written(reduce(DataFrame.unionByName, done))
     overall = tree.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("r")).first()["r"]
     hosts = _summed(tree, "host").select("host", ((F.col("bad") + SMOOTHING * F.lit(overall)) / (F.col("labelled") + SMOOTHING)).alias("host_share"))
     each = _summed(tree, "host", "template").withColumnsRenamed({"n": "t_n", "labelled": "t_labelled", "bad": "t_bad"}).join(hosts, "host")
@@ -109,8 +149,7 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     one = labels.groupBy("page_id").agg(F.avg("bad").cast("double").alias("bad"))
     known = parsed.join(one, "page_id", "left")
     urls = written(known.groupBy("host", "path_key").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")))
-    found = written(templates(urls).select("host", "path_key", F.array_join("template", "/").alias("template"), "share", "rejected"))
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    found = _small(templates(urls).select("host", "path_key", F.array_join("template", "/").alias("template"), "share", "rejected"))
     ruled = parsed.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     return ruled.join(found, ["host", "path_key"], "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), "template", "share"

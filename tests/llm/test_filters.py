@@ -55,6 +55,116 @@ def test_similar_branches_merge_and_variable_levels_become_wildcards(spark):
     assert {x["template"] for x in got.collect()} == {"*/*/view"}
 
 
+def test_alike_siblings_merge_singly(spark):
+    pages = [(i, f"http://site.org/{('aa', 'bb', 'cc')[i % 3]}/x{i}y") for i in range(600)]
+    labels = [(i, int(i % 3 == 1)) for i in range(600)]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    assert {(r["page_id"] % 3, r["template"], r["verdict"]) for r in got} == {(0, "?aa+1/x#y", "allow"), (2, "?aa+1/x#y", "allow"), (1, "bb/x#y", "block")}
+
+
+def test_branches_that_part_deep_down(spark):
+    pages = [(i, f"http://site.org/a/b/c/d/e/f/{'spam' if i % 2 else 'good'}/{i}") for i in range(200)]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(i, i % 2) for i in range(200)], "page_id long, bad int")).collect()
+    assert {(r["page_id"] % 2, r["verdict"]) for r in got} == {(0, "allow"), (1, "block")}
+
+
+def brute_templates(rows):
+    """(host, key) -> (template, share) from (host, key, n, labelled, bad), one parent after the other."""
+    out = {}
+
+    def alike(a, b):
+        rate = (a[1] + b[1]) / (a[0] + b[0])
+        return (a[1] / a[0] - b[1] / b[0]) ** 2 <= urls.QUANTILE**2 * rate * (1 - rate) * (1 / a[0] + 1 / b[0])
+
+    def walk(group, level):
+        ends, kinds = [r for r in group if len(r["t"]) <= level], {}
+        for r in group:
+            if len(r["t"]) > level:
+                kinds.setdefault(r["t"][level], []).append(r)
+        total = {s: [sum(r[c] for r in rs) for c in ("n", "l", "b")] for s, rs in kinds.items()}
+        for r in ends:
+            out[r["host"], r["key"]] = tuple(r["t"])
+        names = {}
+        if len(kinds) > 1:
+            if len(kinds) >= urls.VARIABLE and len(kinds) >= urls.VARIETY * sum(x[0] for x in total.values()):
+                names = dict.fromkeys(kinds, "*")
+            else:
+                seen = {s: x for s, x in total.items() if x[1]}
+                rate = sum(x[2] for x in seen.values()) / max(1, sum(x[1] for x in seen.values()))
+                bins = {}
+                for s, (_, labelled, bad) in seen.items():
+                    k = min(urls.BINS - 1, int((bad + urls.WEIGHT * rate) / (labelled + urls.WEIGHT) * urls.BINS))
+                    b = bins.setdefault(k, [0, 0, []])
+                    bins[k] = [b[0] + labelled, b[1] + bad, b[2] + [s]]
+                clusters = []
+                for k in sorted(bins):
+                    if clusters and alike(clusters[-1], bins[k]):
+                        clusters[-1] = [x + y for x, y in zip(clusters[-1], bins[k], strict=True)]
+                    else:
+                        clusters.append(bins[k])
+                for _, _, of in clusters:
+                    if len(of) > 1:
+                        names |= dict.fromkeys(of, "*" if len(of) == len(kinds) else f"?{min(of)}+{len(of) - 1}")
+        below = {}
+        for s, rs in kinds.items():
+            for r in rs:
+                r["t"][level] = names.get(s, s)
+                below.setdefault(r["t"][level], []).append(r)
+        for rs in below.values():
+            walk(rs, level + 1)
+
+    hosts = {}
+    for host, key, n, labelled, bad in rows:
+        hosts.setdefault(host, []).append({"host": host, "key": key, "t": list(key), "n": n, "l": labelled, "b": bad})
+    every = [r for rs in hosts.values() for r in rs]
+    overall = sum(r["b"] for r in every) / max(1, sum(r["l"] for r in every))
+    for rs in hosts.values():
+        walk(rs, 0)
+    shares = {}
+    for host, rs in hosts.items():
+        host_share = (sum(r["b"] for r in rs) + urls.SMOOTHING * overall) / (sum(r["l"] for r in rs) + urls.SMOOTHING)
+        sums = {}
+        for r in rs:
+            x = sums.setdefault(out[host, r["key"]], [0, 0])
+            sums[out[host, r["key"]]] = [x[0] + r["l"], x[1] + r["b"]]
+        for r in rs:
+            labelled, bad = sums[out[host, r["key"]]]
+            shares[host, r["key"]] = (out[host, r["key"]], (bad + urls.SMOOTHING * host_share) / (labelled + urls.SMOOTHING))
+    return shares
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    purity, rows = {}, {}
+    for _ in range(500):
+        host = r.choice(("h.org", "i.org"))
+        key = tuple(r.choice("abcdef" if d else "pqr") + ("" if d < 2 else r.choice(("", "", "#", "xyz"[d % 3]))) for d in range(r.randrange(1, 6)))
+        n = r.randrange(1, 30)
+        labelled = r.choice((0, 0, n, n // 2))
+        p = purity.setdefault((host, key[:1], key[1:2]), r.choice((0.05, 0.1, 0.5, 0.95)))
+        rows[host, key] = (n, labelled, float(sum(r.random() < p for _ in range(labelled))))
+    want = brute_templates([(*k, *v) for k, v in rows.items()])
+    df = spark.createDataFrame([(h, list(k), *v) for (h, k), v in rows.items()], "host string, path_key array<string>, n long, labelled long, bad double")
+    got = {(x["host"], tuple(x["path_key"])): x for x in urls.templates(df).collect()}
+    assert got.keys() == want.keys()
+    for k, (template, share) in want.items():
+        assert tuple(got[k]["template"]) == template and abs(got[k]["share"] - share) < 1e-9 and got[k]["rejected"] == (share > urls.LIMIT)
+    assert len({t for t, _ in want.values()}) < len(want) and any(x.startswith("?") for t, _ in want.values() for x in t)
+
+
+def test_urls_hostile(spark, hostile):
+    """Null and very long urls, repeated pages with several labels, null labels, clashing columns."""
+    long = "http://a.org/" + "x/" * 3000
+    rows = [(1, "http://a.org/b/1"), (1, "http://a.org/b/1"), (2, None), (None, "http://a.org/b/2"), (3, long), (3, long + "y"), (4, "")]
+    names = ("host", "path", "template", "n", "labelled", "bad", "level", "parent", "segment", "name", "h", "p", "s", "on", "here", "share")
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(1) for c in names})
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, None), (None, 1), (9, 1)], "page_id long, bad int")
+    got = urls.judge(pages, labels).collect()
+    assert sorted(str(r["page_id"]) for r in got) == ["1", "1", "2", "3", "3", "4", "None"]
+    assert {r["verdict"] for r in got} == {"allow"} and {(r["host"], r["path"]) for r in got if r["page_id"] in (2, 4)} == {("", "")}
+
+
 def test_no_pages(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).count() == 0
 
