@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field for what they miss.
 
-The patterns (email, ip, card, phone) give base spans. The field labels tokens by word-shape features, is trained from a
-small labelled table, and is decoded by Viterbi over numpy batches of windows; its spans are added where they overlap
-no base span. A window is what lies within REACH tokens of a trigger (a digit, an ``@``, or a spelled-out dot); tokens
-outside windows are labelled O, as the field never starts a span without a trigger in reach. Windows are cut nowhere
-else, so whole texts are covered.
+The patterns (email, ip, card, phone) give base spans. The field labels every token of every whole text by word-shape
+features, is trained from a small labelled table, and is decoded by Viterbi in numpy batches; its spans (written-out email
+addresses, phone numbers without a plus sign, social security numbers) are added where they overlap no base span. Tokens
+are runs of letters, runs of digits, and single other characters; tokens and features of a batch of texts are computed
+as arrays.
 
 Nulls and empty texts have no spans. Offsets count code points, ends are exclusive. Repeated rows keep their rows, an
 empty table gives an empty result, and extra columns are ignored.
@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -23,19 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmine.llm.common import bounded, worker_cache
+from sparkmine.llm.encode import batches
 
 KINDS = ("email", "ip", "card", "phone", "ssn")
 #: Labels of the field: O, then beginning and inside of each kind.
 LABELS = ["O", *[f"{x}-{k}" for k in ("email", "phone", "ssn") for x in "BI"]]
-REACH, FEATURE_BITS, SENTENCES, SEED = 12, 13, 500, 7
+FEATURE_BITS, SENTENCES, SEED = 13, 500, 7
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_TOKEN = re.compile(r"[A-Za-zÀ-ɏ]+|[0-9]+|[^\sA-Za-z0-9À-ɏ]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]|(?<![A-Za-z])dot(?![A-Za-z])")
 
 
 def luhn(digits: str) -> bool:
@@ -64,42 +65,79 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # ---- the field -------------------------------------------------------------------------------------------------------
 
-_WORDS = frozenset(("at", "dot", "com", "org", "net", "edu", "mail", "email", "e", "phone", "tel", "call", "fax", "mobile", "ssn", "social", "security", "card", "visa", "ip", "host", "page", "no", "nr", "version", "date", "year", "isbn", "price", "order", "id", "v"))
-
-
-def shape(token: str) -> str:
-    if token[0].isdigit():
-        return f"d{min(len(token), 7)}"
-    if token[0].isalpha():
-        low = token.lower()
-        return f"w:{low}" if low in _WORDS else ("X" if token[0].isupper() else "") + f"x{min(len(token), 3)}"
-    return token
-
-
-def _hashed(items: list[str]) -> list[int]:
-    return [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "little") % ((1 << FEATURE_BITS) - 1) + 1 for x in items]
-
-
-def features(shapes: list[str], tight: list[bool]) -> np.ndarray:
-    """Feature ids of each token of a window; tight: whether no white space stands before the token. Id 0 is none."""
-    padded = ["^", "^", "^", *shapes, "$", "$", "$"]
-    glue = [False, False, False, *tight, False, False, False, False]
-    memo, out = worker_cache("pii").setdefault("features", {}), []
-    for i in range(3, len(shapes) + 3):
-        key = (*padded[i - 3 : i + 4], *glue[i - 1 : i + 3])
-        got = memo.get(key)
-        if got is None:
-            p, g = padded, "".join("01"[x] for x in glue[i : i + 2])
-            got = _hashed([f"0{p[i]}", f"g{p[i]}{g}", f"-{p[i - 1]}|{p[i]}", f"+{p[i]}|{p[i + 1]}", f"-2{p[i - 2]}|{p[i - 1]}|{p[i]}", f"+2{p[i]}|{p[i + 1]}|{p[i + 2]}", f"m{p[i - 1]}|{p[i]}|{p[i + 1]}{g}", f"-3{p[i - 3]}|{p[i - 2]}|{p[i - 1]}|{p[i]}", f"+3{p[i]}|{p[i + 1]}|{p[i + 2]}|{p[i + 3]}"])
-            if len(memo) > 100_000:
-                memo.clear()
-            memo[key] = got
-        out.append(got)
-    return np.array(out, np.int32).reshape(-1, 9)
-
-
-def tokens(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
+# Words that stand by themselves; of others only case and length count.
+WORDS = ("at", "dot", "com", "org", "net", "edu", "mail", "email", "e", "phone", "tel", "call", "fax", "mobile", "ssn", "social", "security", "card", "visa", "ip", "host", "page", "no", "nr", "version", "date", "year", "isbn", "price", "order", "id", "v")
+_SPECIAL, _FIRST, _LAST = 1 << 21, (1 << 22) + 1, (1 << 22) + 2
+
+
+def _tables() -> dict[str, np.ndarray]:
+    """By code point: class (0 blank, 1 letter, 2 digit, 3 other), lower case, whether upper; and hashes of WORDS."""
+    cache = worker_cache("pii")
+    if "kind" not in cache:
+        kind = np.full(0x110000, 3, np.uint8)
+        kind[[c for c in range(0x3100) if chr(c).isspace()]] = 0
+        lower, upper = np.arange(0x250, dtype=np.uint64), np.zeros(0x110000, bool)
+        for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x250)):
+            kind[c], lower[c], upper[c] = 1, ord(chr(c).lower()[0]), chr(c).isupper()
+        kind[48:58] = 2
+        powers = np.cumprod(np.full(max(map(len, WORDS)) + 1, 0x100000001B3, np.uint64), dtype=np.uint64)
+        hashes = np.array([(np.array([ord(c) for c in w], np.uint64) * powers[: len(w)]).sum(dtype=np.uint64) for w in WORDS], np.uint64)
+        order = np.argsort(hashes)
+        cache |= {"kind": kind, "lower": lower, "upper": upper, "powers": powers, "words": hashes[order], "number": order}
+    return cache
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (code points within their text), shape and number of the text of every token."""
+    t = _tables()
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = t["kind"][codes]
+    opens = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 3)])
+    at = np.flatnonzero(opens)
+    end = np.append(at[1:], len(codes))
+    real = kind[at] > 0
+    start, end = at[real], end[real]
+    first, size, k = codes[start], end - start, kind[start]
+    shape = 64 + first.astype(np.int64)
+    shape[k == 2] = np.minimum(size[k == 2], 7)
+    word = np.flatnonzero(k == 1)
+    shape[word] = 16 + 4 * t["upper"][first[word]] + np.minimum(size[word], 3)
+    short = word[size[word] < len(t["powers"])]
+    if len(short):
+        # a hash of each short word's lower-case letters, at most len(powers) of them
+        n = size[short]
+        at = np.repeat(start[short], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        value = np.add.reduceat(t["lower"][codes[at]] * t["powers"][at - np.repeat(start[short], n)], np.cumsum(n) - n)
+        i = np.minimum(np.searchsorted(t["words"], value), len(t["words"]) - 1)
+        known = t["words"][i] == value
+        shape[short[known]] = _SPECIAL + t["number"][i[known]]
+    begin = np.cumsum([0, *[len(x) + 1 for x in texts]])
+    text = np.searchsorted(begin, start, side="right") - 1
+    return start - begin[text], end - begin[text], shape, text
+
+
+def _mixed(seed: int, *parts: np.ndarray) -> np.ndarray:
+    h = np.uint64((seed * 0x9E3779B97F4A7C15 + 1) & (1 << 64) - 1)
+    for p in parts:
+        h = (h ^ p.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+        h = h ^ (h >> np.uint64(32))
+    return (h % np.uint64((1 << FEATURE_BITS) - 1)).astype(np.int32) + 1
+
+
+def features(start: np.ndarray, end: np.ndarray, shape: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Feature ids of each token: shapes of it and its neighbours in its text, and whether they touch. Id 0 is none."""
+    at = np.arange(len(shape)) + 6 * text + 3  # three places before and after each text
+    size = int(at[-1]) + 4 if len(at) else 0
+    s = np.full(size, _LAST, np.int64)
+    for i in (1, 2, 3):
+        s[at[np.flatnonzero(np.diff(text, prepend=-1))] - i] = _FIRST
+    s[at] = shape
+    tight = np.zeros(size + 1, np.int64)
+    tight[at[1:]] = (end[:-1] == start[1:]) & (text[:-1] == text[1:])
+    x = {i: s[at + i] for i in range(-3, 4)}
+    g = 2 * tight[at] + tight[at + 1]
+    sets = ((x[0],), (x[0], g), (x[-1], x[0]), (x[0], x[1]), (x[-2], x[-1], x[0]), (x[0], x[1], x[2]), (x[-1], x[0], x[1], g), (x[-3], x[-2], x[-1], x[0]), (x[0], x[1], x[2], x[3]))
+    return np.stack([_mixed(i + 1, *parts) for i, parts in enumerate(sets)], 1) if len(shape) else np.zeros((0, 9), np.int32)
 
 
 def labelled_table(sentences: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -124,6 +162,7 @@ def labelled_table(sentences: int = SENTENCES, seed: int = SEED) -> list[tuple[s
         text, spans = "", []
         for _ in range(r.randrange(1, 4)):
             text += "".join(w() + r.choice((" ", " ", " ", ", ", ". ", "\n", "*** ", "### ")) for _ in range(r.randrange(1, 5)))
+            text += r.choice(("", "", "", "call ", "tel: ", "phone ", "email: ", "mail ", "ssn ", "fax ", "my number is ", "or "))
             kind = r.choice((*made, *[None] * 4))
             piece = r.choice(made[kind] if kind else clean)()
             if kind:
@@ -133,10 +172,6 @@ def labelled_table(sentences: int = SENTENCES, seed: int = SEED) -> list[tuple[s
     return out
 
 
-def _windows(text: str, tok: list[tuple[int, int]]) -> tuple[list[str], list[bool]]:
-    return [shape(text[a:b]) for a, b in tok], [i > 0 and tok[i - 1][1] == a for i, (a, _) in enumerate(tok)]
-
-
 def _batch(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(r) for r in rows])
     out = np.zeros((len(rows), n.max(), 9), np.int32)
@@ -158,13 +193,13 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 70,
     """Emission and transition weights by full-batch Adam on the conditional log-likelihood."""
     rows, gold = [], []
     for text, spans in table:
-        tok = tokens(text)
-        y = np.zeros(len(tok), np.int64)
+        start, end, shape, number = tokens([text])
+        y = np.zeros(len(start), np.int64)
         for a, b, kind in spans:
-            inside = [i for i, (s, e) in enumerate(tok) if s >= a and e <= b]
+            inside = np.flatnonzero((start >= a) & (end <= b))
             y[inside] = LABELS.index(f"I-{kind}")
             y[inside[0]] = LABELS.index(f"B-{kind}")
-        rows.append(features(*_windows(text, tok)))
+        rows.append(features(start, end, shape, number))
         gold.append(y)
     x, n = _batch(rows)
     size, length = x.shape[:2]
@@ -215,76 +250,57 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 70,
 
 
 def viterbi(rows: list[np.ndarray], model: dict, batch: int = 512) -> list[np.ndarray]:
-    """Best labels of each window; windows of like length are decoded together."""
-    out: list = [None] * len(rows)
-    order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
+    """Best labels of each text; rows: their tokens' emissions. Texts of like length are decoded together."""
+    out: list = [np.zeros(0, np.int8)] * len(rows)
+    order = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: len(rows[i]))
     at = 0
     while at < len(order):
         some = [order[at]]
         at += 1
-        # so many tokens at once at most, long windows alone
+        # so many tokens at once at most, long texts alone
         while at < len(order) and len(some) < batch and (len(some) + 1) * len(rows[order[at]]) <= 1 << 16:
             some.append(order[at])
             at += 1
-        x, n = _batch([rows[i] for i in some])
-        emit = model["emit"][x].sum(2)
-        best = emit[:, 0] + model["first"]
+        n = np.array([len(rows[i]) for i in some])
+        emit = np.zeros((n.max(), len(some), len(LABELS)), np.float32)
+        for j, i in enumerate(some):
+            emit[: n[j], j] = rows[i]
+        best = emit[0] + model["first"]
         back = np.zeros(emit.shape, np.int8)
-        for i in range(1, x.shape[1]):
-            step = best[:, :, None] + model["trans"]
-            arg = step.argmax(1)
-            new = np.take_along_axis(step, arg[:, None, :], 1)[:, 0] + emit[:, i]
-            live = (i < n)[:, None]
-            back[:, i] = np.where(live, arg, np.arange(len(LABELS)))
-            best = np.where(live, new, best)
-        path = np.zeros(x.shape[:2], np.int8)
-        path[:, -1] = best.argmax(1)
-        for i in range(x.shape[1] - 1, 0, -1):
-            path[:, i - 1] = np.take_along_axis(back[:, i], path[:, i, None].astype(np.int64), 1)[:, 0]
+        trans = model["trans"].T[None]
+        for i in range(1, len(emit)):
+            live = len(some) - int(np.searchsorted(n, i, side="right"))  # the last so many go on
+            step = best[len(some) - live :, None, :] + trans
+            arg = step.argmax(2)
+            back[i] = np.arange(len(LABELS))
+            back[i, len(some) - live :] = arg
+            best[len(some) - live :] = np.take_along_axis(step, arg[:, :, None], 2)[:, :, 0] + emit[i, len(some) - live :]
+        path = np.zeros(emit.shape[:2], np.int8)
+        path[-1] = best.argmax(1)
+        every = np.arange(len(some))
+        for i in range(len(emit) - 1, 0, -1):
+            path[i - 1] = back[i, every, path[i]]
         for j, i in enumerate(some):
-            out[i] = path[j, : n[j]]
-    return out
-
-
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Token runs within REACH tokens of a trigger. A trigger's neighbourhood is found in characters, then in tokens."""
-    reach = 0
-    out: list[list[tuple[int, int]]] = []
-    marks = [m.start() for m in _TRIGGER.finditer(text)]
-    if not marks:
-        return out
-    tok = tokens(text)
-    starts = np.array([a for a, _ in tok])
-    at = np.searchsorted(starts, marks, side="right") - 1
-    low, high = np.maximum(at - REACH, 0), np.minimum(at + REACH + 1, len(tok))
-    begin = 0
-    while begin < len(at):
-        end, reach = begin, int(high[begin])
-        while end + 1 < len(at) and low[end + 1] <= reach:
-            end += 1
-            reach = max(reach, int(high[end]))
-        out.append(tok[int(low[begin]) : reach])
-        begin = end + 1
+            out[i] = path[: n[j], j]
     return out
 
 
 def found_spans(texts: list[str], model: dict) -> list[list[tuple[int, int, str]]]:
-    """The field's spans of each text."""
-    where, rows = [], []
-    for i, text in enumerate(texts):
-        for tok in windows(text):
-            where.append((i, tok))
-            rows.append(features(*_windows(text, tok)))
+    """The field's spans of each whole text."""
+    start, end, shape, text = tokens(texts)
+    f = features(start, end, shape, text)
+    emit = np.zeros((len(f), len(LABELS)), np.float32)
+    for k in range(f.shape[1]):
+        emit += model["emit"][f[:, k]]
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (i, tok), path in zip(where, viterbi(rows, model), strict=True):
-        start = None
-        for j, label in enumerate([*path.tolist(), 0]):
-            name = LABELS[label]
-            if start is not None and name[0] != "I":
-                out[i].append((tok[start][0], tok[j - 1][1], LABELS[int(path[start])][2:]))
-                start = None
-            if name[0] == "B":
-                start = j
+    for i, path in enumerate(viterbi([emit[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], model)):
+        begins = np.flatnonzero(path % 2 == 1)  # B labels are odd, I labels even, O is zero
+        for j in begins.tolist():
+            last = j
+            while last + 1 < len(path) and path[last + 1] == path[j] + 1:
+                last += 1
+            out[i].append((int(start[cuts[i] + j]), int(end[cuts[i] + last]), LABELS[path[j]][2:]))
     return out
 
 
@@ -293,9 +309,12 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def all_spans(base: list, more: list) -> list:
+    """The base spans, and those of more that overlap none of them."""
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
     kept = list(base)
     for a, b, k in more:
-        if all(b <= x or y <= a for x, y, _ in base):
+        before = bisect_left(starts, b)
+        if not before or ends[before - 1] <= a:
             kept.append((a, b, k))
     return sorted(kept, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -309,14 +328,14 @@ def find(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for a in range(0, len(pdf), 1024):
-                part = pdf.iloc[a : a + 1024]
+            for a, b in batches(pdf["text"].tolist()):
+                part = pdf.iloc[a:b]
                 texts = [t or "" for t in part["text"]]
                 base, rows = [base_spans(t) for t in texts], []
-                for key, b, more in zip(part["doc_id"].tolist(), base, found_spans(texts, carried.value), strict=True):
-                    kinds = [k for _, _, k in b]
-                    spans = all_spans(b, more)
-                    rows.append((key, *(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(joined(b).encode()).hexdigest(), joined(spans), len(spans) - len(b)))
+                for key, own, more in zip(part["doc_id"].tolist(), base, found_spans(texts, carried.value), strict=True):
+                    kinds = [k for _, _, k in own]
+                    spans = all_spans(own, more)
+                    rows.append((key, *(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(joined(own).encode()).hexdigest(), joined(spans), len(spans) - len(own)))
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"doc_id": "Int64"})
 
     return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(scan, OUT)

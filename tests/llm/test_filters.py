@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -225,21 +226,98 @@ def test_field_on_unseen_sentences(field):
 
 def test_viterbi_is_the_best_path(field):
     rng = np.random.default_rng(0)
-    rows = [rng.integers(1, 1 << pii.FEATURE_BITS, (n, 9)).astype(np.int32) for n in (1, 2, 4, 3)]
+    rows = [rng.normal(0, 2, (n, len(pii.LABELS))).astype(np.float32) for n in (1, 2, 4, 0, 3, 2)]
     from itertools import product
 
     for row, path in zip(rows, pii.viterbi(rows, field), strict=True):
-        emit = field["emit"][row].sum(1)
-        value = lambda p, e=emit: field["first"][p[0]] + sum(e[i, x] for i, x in enumerate(p)) + sum(field["trans"][a, b] for a, b in zip(p, p[1:], strict=False))
+        if not len(row):
+            assert not len(path)
+            continue
+        value = lambda p, e=row: field["first"][p[0]] + sum(e[i, x] for i, x in enumerate(p)) + sum(field["trans"][a, b] for a, b in zip(p, p[1:], strict=False))
         best = max(product(range(len(pii.LABELS)), repeat=len(row)), key=value)
         assert abs(value(best) - value(path.tolist())) < 1e-3
 
 
-def test_clean_text_stays_clean_and_windows_cover(field):
+def test_tokens_are_the_pattern_s():
+    pattern = re.compile("[A-Za-z\u00c0-\u024f]+|[0-9]+|[^\\sA-Za-z0-9\u00c0-\u024f]")
+    texts = ["", "a1 b\u00e9\n\n(c)--\u4e2d\u6587 \U0001f600\x00x", " \u3000\u2028 ", "At dot COM phoneX 1234567890", "\ud800z"]
+    start, end, shape, text = pii.tokens(texts)
+    assert [(int(i), int(a), int(b)) for i, a, b in zip(text, start, end, strict=True)] == [(i, *m.span()) for i, t in enumerate(texts) for m in pattern.finditer(t)]
+    of = {texts[i][a:b]: int(x) for i, a, b, x in zip(text, start, end, shape, strict=True)}
+    assert len({of["At"], of["dot"], of["COM"], of["phoneX"]}) == 4 and of["1234567890"] == 7 and of["phoneX"] < pii._SPECIAL <= of["At"]
+    # alone or in a batch, a text has the same features
+    every = pii.features(start, end, shape, text)
+    for i, t in enumerate(texts):
+        assert (pii.features(*pii.tokens([t])) == every[text == i]).all()
+
+
+def test_clean_text_stays_clean(field):
     words = ["The", "house", "at", "the", "end", "of", "road", "12", "was", "built", "in", "1987", "version", "2.0"]
     assert pii.found_spans([" ".join(words * 50)], field) == [[]]
-    text = "word " * 100 + "1 " + "word " * 100 + "2"
-    assert sum(len(w) for w in pii.windows(text)) == 2 * pii.REACH + 1 + pii.REACH + 1
+
+
+def contract_spans(t):
+    """The base spans by the contract's words, one kind after the other."""
+    def digits(m):
+        return [int(c) for c in m if "0" <= c <= "9"]
+
+    def passes(d):
+        doubled = [x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])]
+        return 12 <= len(d) <= 19 and sum(doubled) % 10 == 0
+
+    rules = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: passes(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    )
+    found = [(m.start(), i, k, m.end()) for i, (k, p, ok) in enumerate(rules) for m in regex.finditer(p, t) if ok(m.group())]
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(found)]
+
+
+def test_base_spans_of_the_whole_table(spark, field):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r["doc_id"]: contract_spans(r["text"] or "") for r in docs.collect()}
+    got = pii.find(docs, field).collect()
+    assert len(got) == docs.count() and sum(map(len, want.values())) > 50
+    for r in got:
+        spans = want[r["doc_id"]]
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x.startswith(k) for x in spans) for k in ("email", "ip", "card", "phone")]
+        assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest() and set(spans) <= set(r["spans"].split(",") if r["spans"] else [])
+
+
+def test_field_on_variants_planted_in_whole_documents(spark, field):
+    """Variants the patterns miss, put between words of real documents; nothing else of them may be marked."""
+    r = random.Random(4)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    made = (
+        lambda: ("phone", f"({d(3)}) {d(3)}-{d(4)}"),
+        lambda: ("phone", f"{d(3)}-{d(3)}-{d(4)}"),
+        lambda: ("phone", f"{d(3)}.{d(3)}.{d(4)}"),
+        lambda: ("email", f"{r.choice(('anna', 'j.smith', 'bob'))} at {r.choice(('example', 'mailbox'))} dot {r.choice(('com', 'org'))}"),
+        lambda: ("email", f"{r.choice(('karl', 'mia'))}{d(2)} [at] {r.choice(('post', 'web'))} [dot] net"),
+        lambda: ("ssn", f"{d(3)}-{d(2)}-{d(4)}"),
+    )
+    texts, want = [], set()
+    for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect():
+        words = (row["text"] or "").split(" ")
+        text = ""
+        for i, w in enumerate(words):
+            if i and i % 97 == 0:
+                kind, piece = r.choice(made)()
+                if r.random() < 0.5:
+                    want.add((len(texts), len(text), len(text) + len(piece), kind))
+                    text += piece + " "
+            text += w + " "
+        texts.append(text)
+    got = {(i, *s) for i, spans in enumerate(pii.found_spans(texts, field)) for s in spans}
+    right = len(got & want)
+    assert len(want) > 200 and right >= 0.9 * len(want) and right >= 0.9 * len(got), (right, len(want), len(got))
+
+
+def test_many_spans_and_overlaps():
+    base = [(0, 5, "email"), (3, 4, "ip"), (10, 12, "card")]
+    assert pii.all_spans(base, [(4, 6, "phone"), (5, 10, "ssn"), (12, 13, "phone"), (9, 11, "ssn")]) == [*base[:2], (5, 10, "ssn"), base[2], (12, 13, "phone")]
 
 
 def test_find(spark, hostile, empty, field):
