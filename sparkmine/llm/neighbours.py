@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: an NN-descent graph built by Spark joins, searched greedily from each query.
 
-Equal vectors are one node with its least ids, so copies of one vector make no large groups. The graph starts from
-random blocks. In each round a node gathers its neighbours and those that have it as neighbour, compares them with each
+Equal vectors are one node, keyed by a hash of the vector, with its least ids, so copies of one vector make no large
+groups. The graph starts from random blocks. In each round a node gathers its neighbours and those that have it as neighbour, compares them with each
 other (neighbours of neighbours), and sends each one the closer ones it has found; pairs that met before aren't
 compared again. Rounds end when few edges change. Vectors travel as 8-bit codes.
 
@@ -9,14 +9,16 @@ A query starts at its own node, opens the closest unopened nodes it knows, and k
 of rounds; nodes are compared where their block is. The closest FINAL are then compared exactly, in double precision,
 on the original vectors.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than
-most. A null id takes no part. Repeated rows of one id are one vector if equal; else each takes part under that id.
+Vectors that are null, zero, or hold null or non-finite components take no part. Those of another length are a space of
+their own. A null id takes no part. Repeated rows of one id are one vector if equal; else each takes part under that id,
+and a query whose id has several vectors has one list, of the least distance to any of them.
 Fewer candidates than asked for are all returned. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from sparkmine.llm.common import partitions, written
 #: Neighbours kept per node, reverse neighbours joined per node, random blocks to start from, most rounds, and the share of changed edges that ends them.
 DEGREE, REVERSE, START_BLOCK, STARTS, ROUNDS, SETTLED = 24, 24, 256, 2, 8, 0.02
 #: Search: nodes known at once, opened per round, rounds, and nodes compared exactly at the end. Nodes of a block.
-BEAM, OPENED, STEPS, FINAL, BLOCK = 300, 150, 5, 24, 1024
+BEAM, OPENED, STEPS, FINAL, BLOCK = 96, 16, 6, 24, 1024
 
 GRAPH = "node long, ids binary, sims binary, fresh binary"
 
@@ -93,25 +95,33 @@ def _packed(u: np.ndarray, w: np.ndarray, s: np.ndarray, old: np.ndarray) -> pd.
 # ---- nodes -----------------------------------------------------------------------------------------------------------
 
 
-def nodes_of(table: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame:
-    """node (least id), vector, code, members (the keep least ids, ascending): one row per distinct vector."""
+def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, vector (array<double>) of the rows that take part."""
     v = F.col("vector")
     rows = table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    finite = rows.where(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0))
-    length = finite.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    finite = finite.where(F.size("vector") == (length["n"] if length else 0))
+    return rows.where(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0))
+
+
+def nodes_of(rows: DataFrame, keep: int) -> DataFrame:
+    """node (a hash of the vector), vector, code, members (the keep least ids, ascending): one row per distinct vector."""
     # rank within equal vectors: each task passes on only the least ids of a vector
-    least = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
-    ranked = finite.distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= keep)
-    groups = ranked.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("members"))
+    least = Window.partitionBy("h", "vector").orderBy("id")
+    ranked = rows.distinct().withColumn("h", F.xxhash64("vector")).withColumn("r", F.row_number().over(least)).where(F.col("r") <= keep)
+    groups = ranked.groupBy("h", "vector").agg(F.array_sort(F.collect_set("id")).alias("members"))
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
                 x = np.stack(pdf["vector"].tolist())
-                yield pd.DataFrame({"node": [int(m[0]) for m in pdf["members"]], "vector": [r.tobytes() for r in x.astype("<f8")], "code": [r.tobytes() for r in encode(x)], "members": pdf["members"].tolist()})
+                yield pd.DataFrame({"node": pdf["h"], "vector": [r.tobytes() for r in x.astype("<f8")], "code": [r.tobytes() for r in encode(x)], "members": pdf["members"].tolist()})
 
-    return groups.mapInPandas(code, "node long, vector binary, code binary, members array<long>")
+    nodes = written(groups.mapInPandas(code, "node long, vector binary, code binary, members array<long>"))
+    twice = nodes.groupBy("node").count().where("count > 1").select(F.col("node").alias("n"))
+    if twice.isEmpty():
+        return nodes
+    # different vectors of one hash (a handful in billions): they are keyed by another hash
+    again = F.when(F.col("n").isNull(), F.col("node")).otherwise(F.xxhash64(F.lit("again"), "vector"))
+    return written(nodes.join(twice, F.col("node") == F.col("n"), "left").select(again.alias("node"), "vector", "code", "members"))
 
 
 # ---- graph -----------------------------------------------------------------------------------------------------------
@@ -215,14 +225,15 @@ def build(nodes: DataFrame, count: int, degree: int = DEGREE, rounds: int = ROUN
 
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, count: int, beam: int = BEAM, opened: int = OPENED, steps: int = STEPS) -> DataFrame:
-    """q, ids, sims: each query node's closest nodes found. queries: q (a node), code."""
+    """q, ids, sims, compared: each query node's closest nodes found, and with how many it was compared (a node that it met
+    in several rounds counts in each). queries: q (a node), code."""
     blocks = max(1, count // BLOCK)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     where = nodes.select("node", "code", block("node").alias("block"))
     around = written(both_ways(graph).select("v", "member").distinct())
     # a query's beam: ids, sims, and whether each has been opened
-    state = queries.select("q", "code", F.lit(b"").alias("ids"), F.lit(b"").alias("sims"), F.lit(b"").alias("done"))
-    beams = "q long, code binary, ids binary, sims binary, done binary"
+    state = queries.select("q", "code", F.lit(b"").alias("ids"), F.lit(b"").alias("sims"), F.lit(b"").alias("done"), F.lit(0).cast("long").alias("compared"))
+    beams = "q long, code binary, ids binary, sims binary, done binary, compared long"
 
     def to_open(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -237,7 +248,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, count: int, b
 
     def compare(_key, asked: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(here):
-            return pd.DataFrame({"q": np.zeros(0, np.int64), "ids": [], "sims": []})
+            return pd.DataFrame({"q": np.zeros(0, np.int64), "ids": [], "sims": [], "compared": np.zeros(0, np.int64)})
         order = np.argsort(here["node"].to_numpy())
         ids, x = here["node"].to_numpy()[order], decode(here["code"].tolist())[order]
         out = []
@@ -246,8 +257,8 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, count: int, b
             w = w[w != q]
             s = x[np.searchsorted(ids, w)] @ decode([code])[0]
             top = np.argsort(-s, kind="stable")[:beam]
-            out.append((q, w[top].astype("<i8").tobytes(), s[top].astype("<f4").tobytes()))
-        return pd.DataFrame(out, columns=["q", "ids", "sims"])
+            out.append((q, w[top].astype("<i8").tobytes(), s[top].astype("<f4").tobytes(), len(w)))
+        return pd.DataFrame(out, columns=["q", "ids", "sims", "compared"])
 
     def renew(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(frames, "q"):
@@ -260,31 +271,38 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, count: int, b
                 w, s = np.concatenate([ids, *(np.frombuffer(b, "<i8") for b in new["ids"])]), np.concatenate([sims, *(np.frombuffer(b, "<f4") for b in new["sims"])])
                 opened_before = np.concatenate([done, np.zeros(len(w) - len(ids), np.uint8)]).astype(bool)
                 _, w, s, o = closest(np.zeros(len(w), np.int64), w, s, opened_before, beam)
-                rows.append((q, old["code"], w.astype("<i8").tobytes(), s.astype("<f4").tobytes(), o.astype(np.uint8).tobytes()))
+                rows.append((q, old["code"], w.astype("<i8").tobytes(), s.astype("<f4").tobytes(), o.astype(np.uint8).tobytes(), int(g["compared"].sum())))
             if rows:
-                yield pd.DataFrame(rows, columns=["q", "code", "ids", "sims", "done"])
+                yield pd.DataFrame(rows, columns=["q", "code", "ids", "sims", "done", "compared"])
 
     for _ in range(steps):
         asked = state.mapInPandas(to_open, "q long, x long").join(around, F.col("x") == F.col("v")).select("q", F.col("member").alias("w"), block("member").alias("block"))
         asked = asked.groupBy("block", "q").agg(F.collect_set("w").alias("wanted")).join(state.select("q", "code"), "q")
-        met = asked.groupBy("block").cogroup(where.groupBy("block")).applyInPandas(compare, "q long, ids binary, sims binary")
-        both = state.unionByName(met.select("q", F.lit(None).cast("binary").alias("code"), "ids", "sims", F.lit(None).cast("binary").alias("done")))
+        met = asked.groupBy("block").cogroup(where.groupBy("block")).applyInPandas(compare, "q long, ids binary, sims binary, compared long")
+        both = state.unionByName(met.select("q", F.lit(None).cast("binary").alias("code"), "ids", "sims", F.lit(None).cast("binary").alias("done"), "compared"))
         state = written(both.repartition(partitions(nodes.sparkSession), "q").sortWithinPartitions("q").mapInPandas(renew, beams))
-    return state.select("q", "ids", "sims")
+    return state.select("q", "ids", "sims", "compared")
 
 
 def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by every, by cosine."""
-    nodes = written(nodes_of(table, id_col, vector_col, k + 1))
+    """query_id, rank, vec_id, score, compared: the k nearest found for each row whose id is divisible by every, by cosine,
+    and how many nodes the query was compared with."""
+    rows = usable(table, id_col, vector_col)
+    widths = sorted(r["n"] for r in rows.select(F.size("vector").alias("n")).distinct().collect())  # one, unless tables are mixed
+    found = [_nearest(rows.where(F.size("vector") == n), k, every) for n in widths or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, k: int, every: int) -> DataFrame:
+    nodes = nodes_of(rows, k + 1)
     count = nodes.count()
     graph = build(nodes, count)
     # queries of one vector share a search; members beyond the least k + 1 are told apart below
-    divisible = F.pmod(F.col("id"), F.lit(every)) == 0
-    ids = table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(divisible).distinct()
+    ids = rows.where(F.pmod(F.col("id"), F.lit(every)) == 0).distinct()
 
     def raw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"query_id": pdf["id"], "vector": [None if any(x is None for x in v) else np.asarray(v, "<f8").tobytes() for v in pdf["v"]]})
+            yield pd.DataFrame({"query_id": pdf["id"], "vector": [np.asarray(v, "<f8").tobytes() for v in pdf["vector"]]})
 
     asked = written(ids.mapInPandas(raw, "query_id long, vector binary").join(nodes.select("node", "vector"), "vector").select("query_id", "node"))
     starts = asked.select(F.col("node").alias("q")).distinct().join(nodes.select(F.col("node").alias("q"), "code"), "q")
@@ -294,23 +312,25 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 w = np.append(np.frombuffer(r.ids, "<i8")[:FINAL], r.q)
-                yield pd.DataFrame({"q": r.q, "w": w})
+                yield pd.DataFrame({"q": r.q, "compared": r.compared, "w": w})
 
-    pairs = found.mapInPandas(heads, "q long, w long").join(nodes.select(F.col("node").alias("w"), F.col("vector").alias("wv"), "members"), "w").join(nodes.select(F.col("node").alias("q"), F.col("vector").alias("qv")), "q")
+    pairs = found.mapInPandas(heads, "q long, compared long, w long").join(nodes.select(F.col("node").alias("w"), F.col("vector").alias("wv"), "members"), "w").join(nodes.select(F.col("node").alias("q"), F.col("vector").alias("qv")), "q")
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
                 a, b = (np.frombuffer(b"".join(pdf[c]), "<f8").reshape(len(pdf), -1) for c in ("qv", "wv"))
                 s = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-                yield pd.DataFrame({"q": pdf["q"], "members": pdf["members"], "score": s})
+                yield pd.DataFrame({"q": pdf["q"], "compared": pdf["compared"], "members": pdf["members"], "score": s})
 
-    scored = pairs.select("q", "qv", "wv", "members").mapInPandas(exact, "q long, members array<long>, score double").select("q", F.explode("members").alias("vec_id"), "score")
-    # k + 1 per node: a query leaves itself out
+    scored = pairs.select("q", "compared", "qv", "wv", "members").mapInPandas(exact, "q long, compared long, members array<long>, score double").select("q", "compared", F.explode("members").alias("vec_id"), "score")
+    # a vec_id of several vectors counts once, with its best; k + 1 per node: a query leaves itself out
+    scored = scored.groupBy("q", "vec_id").agg(F.max("score").alias("score"), F.first("compared").alias("compared"))
     near = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    short = scored.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("list"))
-    own = asked.join(short, F.col("node") == F.col("q")).select("query_id", F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("list"))
-    return own.select("query_id", F.posexplode("list").alias("i", "x")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    short = scored.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
+    own = asked.join(short, F.col("node") == F.col("q")).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("compared").alias("compared"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return own.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "compared")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,47 @@ def test_neighbours_recall(spark):
     assert np.mean([len(set(got[q].values()) & set(w)) / 5 for q, w in want.items()]) >= 0.95
 
 
+def test_greedy_search_with_a_narrow_beam(spark):
+    """The shipped beam compares a query with a small part of the table, and still finds nearly all neighbours."""
+    r = np.random.default_rng(6)
+    centres = r.standard_normal((100, 24))
+    x = centres[r.integers(0, 100, 8000)] + 0.7 * r.standard_normal((8000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(df, every=50).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 8000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & {r["vec_id"] for r in rows if r["query_id"] == q})
+    assert hit >= 0.95 * 5 * 160
+    assert np.mean([r["compared"] for r in rows]) < 0.35 * 8000
+
+
+def test_one_id_with_two_vectors(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, r.standard_normal(6)) for i in range(60)]
+    rows += [(0, r.standard_normal(6)), (7, r.standard_normal(6))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    want = {}
+    for q, a in rows:
+        if q % 50 == 0:
+            for i, b in rows:
+                if i != q:
+                    s = float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
+                    want[q, i] = max(want.get((q, i), -9), s)
+    got = neighbours.nearest(df).collect()
+    for q in (0, 50):
+        best = sorted(((-s, i) for (p, i), s in want.items() if p == q))[:5]
+        assert [(x["rank"], x["vec_id"], round(x["score"], 12)) for x in sorted((x for x in got if x["query_id"] == q), key=lambda x: x["rank"])] == [(n + 1, i, round(-s, 12)) for n, (s, i) in enumerate(best)]
+
+
+def test_other_lengths_are_a_space_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 0.0, 1.0]), (100, [2.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in got) == [(0, 1), (50, 51)]
+
+
 def test_neighbours_hostile(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [1.0, None]), (7, [0.5, 0.5]), (None, [1.0, 1.0]), (50, [1.0, 0.0]), (8, [1.0, 0.0, 3.0]), (7, [0.5, 0.5]), *[(i, [1.0, 0.0]) for i in range(60, 90)]]
