@@ -283,13 +283,13 @@ def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def _may_be_similar(pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """u, v of those (u, v, un, vn, one row per shared prefix shingle) that can still be similar.
+    """u, v, seen of those (u, v, un, vn, one row per shared prefix shingle) that can still be similar.
 
     Up to where the shorter of both prefixes ends all shared shingles are seen; beyond it, at most that set's rest is shared.
     """
     counted = pairs.groupBy("u", "v").agg(F.count("*").alias("seen"), *[F.first(c).alias(c) for c in ("un", "vn")])
     rest = F.greatest(*[F.col(c) - _prefix(F.col(c), least) for c in ("un", "vn")])
-    return counted.where((F.col("seen") + rest) * sum(least) >= (F.col("un") + F.col("vn")) * least[0]).select("u", "v")
+    return counted.where((F.col("seen") + rest) * sum(least) >= (F.col("un") + F.col("vn")) * least[0]).select("u", "v", "seen")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int], made: list[DataFrame]) -> DataFrame:
@@ -314,8 +314,8 @@ def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Equal shingle sets are reduced to one row. Candidates are the links of the tries and the pairs that share one of the
     first shingles of both sets, of which every similar pair has one; all are compared exactly on whole sets. In the
-    first round a row is only held against the first row of each shingle, so that dense groups are one component before
-    the second round takes the pairs between components. Common shingles are last in the order, so that a passage
+    first rounds a row is only held against the first row of a shingle, the one it shares most with before the others, so
+    that dense groups are one component before the last round takes the pairs between components. Common shingles are last in the order, so that a passage
     that many texts hold makes candidates only of texts that hold little else.
     """
     docs = bounded(docs)
@@ -358,14 +358,21 @@ def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one = written(heads.groupBy("fp").agg(F.min("row").alias("row")))
     tries = links(one.select("fp")).where("fp <> root").distinct()
     tries = tries.join(one.withColumnRenamed("row", "v"), "fp").join(one.select(F.col("fp").alias("root"), F.col("row").alias("u")), "root").select("u", "v")
-    near = _verified(_may_be_similar(stars, least).union(tries), texts, least, made)
+    # each row's likeliest first; then what that left apart
+    stars = written(_may_be_similar(stars, least))
+    likeliest = stars.groupBy("v").agg(F.max(F.struct("seen", (-F.col("u")).alias("less"))).alias("x")).select((-F.col("x.less")).alias("u"), "v")
+    near = _verified(likeliest.union(tries), texts, least, made)
+    label = connected(near)
+    at = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"{side}comp"))
+    open_ = stars.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("ucomp", "u") != F.coalesce("vcomp", "v")).select("u", "v")
+    near = near.union(_verified(open_, texts, least, made))
 
     label = connected(near)
     apart = written(shared.join(label, F.col("row") == F.col("node"), "left").select("h", "row", "n", F.coalesce("label", "row").alias("comp")))
-    drop(shared, one)
+    drop(shared, one, stars)
     a, b = (apart.select("h", *[F.col(c).alias(side + c) for c in ("row", "n", "comp")]) for side in "uv")
     between = a.join(b, "h").where((F.col("urow") < F.col("vrow")) & (F.col("ucomp") != F.col("vcomp")) & fits(F.col("un"), F.col("vn")))
-    rest = _verified(_may_be_similar(between.withColumnsRenamed({"urow": "u", "vrow": "v"}), least), texts, least, made)
+    rest = _verified(_may_be_similar(between.withColumnsRenamed({"urow": "u", "vrow": "v"}), least).select("u", "v"), texts, least, made)
     drop(apart)
 
     label = connected(near.union(rest))
