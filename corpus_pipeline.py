@@ -33,8 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    forest = secrets.train(secrets.labelled_findings(spark))
-    return secrets.redact(docs, forest).withColumn("n_chars", F.length("text").cast("long"))
+    return secrets.redact(docs, secrets.shipped(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
