@@ -258,28 +258,27 @@ def viterbi(rows: list[np.ndarray], model: dict, batch: int = 512) -> list[np.nd
         some = [order[at]]
         at += 1
         # so many tokens at once at most, long texts alone
-        while at < len(order) and len(some) < batch and (len(some) + 1) * len(rows[order[at]]) <= 1 << 16:
+        while at < len(order) and len(some) < batch and (len(some) + 1) * len(rows[order[at]]) <= 1 << 17:
             some.append(order[at])
             at += 1
         n = np.array([len(rows[i]) for i in some])
-        emit = np.zeros((n.max(), len(some), len(LABELS)), np.float32)
+        # best[i]: by label and text, of paths that end at token i; it stands still behind a text's end
+        best = np.zeros((n.max(), len(LABELS), len(some)), np.float32)
         for j, i in enumerate(some):
-            emit[: n[j], j] = rows[i]
-        best = emit[0] + model["first"]
-        back = np.zeros(emit.shape, np.int8)
-        trans = model["trans"].T[None]
-        for i in range(1, len(emit)):
-            live = len(some) - int(np.searchsorted(n, i, side="right"))  # the last so many go on
-            step = best[len(some) - live :, None, :] + trans
-            arg = step.argmax(2)
-            back[i] = np.arange(len(LABELS))
-            back[i, len(some) - live :] = arg
-            best[len(some) - live :] = np.take_along_axis(step, arg[:, :, None], 2)[:, :, 0] + emit[i, len(some) - live :]
-        path = np.zeros(emit.shape[:2], np.int8)
-        path[-1] = best.argmax(1)
-        every = np.arange(len(some))
-        for i in range(len(emit) - 1, 0, -1):
-            path[i - 1] = back[i, every, path[i]]
+            best[: n[j], :, j] = rows[i]
+        best[0] += model["first"][:, None]
+        trans = np.ascontiguousarray(model["trans"])
+        dead = np.searchsorted(n, np.arange(len(best)), side="right").tolist()  # of texts by length, the first so many have ended
+        for i in range(1, len(best)):
+            d = dead[i]
+            best[i, :, :d] = best[i - 1, :, :d]
+            best[i, :, d:] += (best[i - 1][:, None, d:] + trans[:, :, None]).max(0)
+        path = np.zeros((len(best), len(some)), np.int8)
+        path[-1] = best[-1].argmax(0)
+        for i in range(len(best) - 1, 0, -1):
+            d = dead[i]
+            path[i - 1, :d] = path[i, :d]
+            path[i - 1, d:] = (best[i - 1][:, d:] + trans[:, path[i, d:]]).argmax(0)
         for j, i in enumerate(some):
             out[i] = path[: n[j], j]
     return out
