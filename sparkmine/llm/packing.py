@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmine.llm.common import bounded, partitions, written
-from sparkmine.llm.encode import batches, encoder
+from sparkmine.llm.encode import KEPT, batches, encoder
 
 WINDOW = 2048
 #: Frequent lengths that third and fourth places are tried with, and rounds of the solver.
@@ -124,11 +124,11 @@ def slots(combos: np.ndarray, times: np.ndarray) -> dict[int, tuple[np.ndarray,
     return {k: (np.array([x[0] for x in v] + [cursor[k]]), np.array([x[1] for x in v]), np.array([x[2] for x in v])) for k, v in found.items()}
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", store: int = KEPT) -> DataFrame:
     """PARTS: each document's full windows (their checksums) and remainder, numbered within the task that made them."""
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, store)
         task, nth, seen = TaskContext.get().partitionId(), 0, np.zeros(window, np.int64)
         for pdf in frames:
             texts, keys = pdf["text"].tolist(), pdf["doc_id"].tolist()
@@ -211,9 +211,10 @@ def pack(parts: DataFrame, window: int = WINDOW) -> DataFrame:
     return full.unionByName(whole).unionByName(loose.mapInPandas(slice_up, PIECES))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Cuts and packs every document; the ids of the remainders stay in the shared folder until the job's folder goes."""
-    return pack(written(cut(docs, tokenizer, end_id, window, id_col, text_col)), window)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", store: int = KEPT) -> DataFrame:
+    """Cuts and packs every document; the ids of the remainders stay in the shared folder until the job's folder goes.
+    store: bytes of a worker's store of encoded words."""
+    return pack(written(cut(docs, tokenizer, end_id, window, id_col, text_col, store)), window)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,11 +21,8 @@ def test_units_give_the_library_s_ids(parts):
     assert np.frombuffer(ENC.ids([text])[0], ENC.dtype).tolist() == ENC.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_whole_texts_and_store_turnover(sample, monkeypatch):
-    import sparkmine.llm.encode as encode
-
-    monkeypatch.setattr(encode, "KEPT", 100_000)
-    enc = Encoder(PATH)
+def test_whole_texts_and_store_turnover(sample):
+    enc = Encoder(PATH, store=100_000)
     texts = [r["text"] for r in sample.select("text").limit(40).collect()]
     for i in range(0, 40, 5):
         for t, raw in zip(texts[i : i + 5], enc.ids(texts[i : i + 5]), strict=True):
