@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from sparkmine.llm import langid, mixing, packing, secrets, simhash
 from sparkmine.llm.common import written
 
+#: Bytes of a worker's store of encoded words: the executors' heaps are full by the last stage.
+STORE = 40 << 20
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -41,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, TOKENIZER)
+    return packing.pack_documents(docs, TOKENIZER, store=STORE)
 
 
 STAGES = [
