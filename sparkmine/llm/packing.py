@@ -1,10 +1,10 @@
 """Packing token ids into windows by non-negative least squares over length combinations.
 
 A document's ids are cut into full windows and one remainder. The remainders' histogram has at most window - 1 bins,
-whatever the number of documents. On the driver, shallow combinations (two to four lengths that fill the window
+whatever the number of documents. On the driver, shallow combinations (two to eight lengths that fill the window
 exactly) are enumerated over the lengths that occur, repeat counts are solved against the histogram by non-negative
-least squares, rounded down, and topped up greedily. The n-th remainder of a length gets the n-th slot for that
-length. The remainders that no combination takes are packed greedily: laid end to end in order and cut at each window,
+least squares, rounded down, and topped up greedily; then the same over what is left, a few times. The n-th remainder
+of a length gets the n-th slot for that length. The remainders that no combination takes are packed greedily: laid end to end in order and cut at each window,
 so that only the very last sequence can be short.
 
 Numbering the remainders of a length needs no group of that length in one task: each task numbers its own, and only
@@ -29,8 +29,9 @@ from sparkmine.llm.common import bounded, partitions, written
 from sparkmine.llm.encode import KEPT, batches, encoder
 
 WINDOW = 2048
-#: Frequent lengths that third and fourth places are tried with, and rounds of the solver.
-PARTNERS, ROUNDS = 16, 200
+#: Places of a combination, frequent lengths that are tried beside two free places, rounds of the solver, and how often it is
+#: run, each time over what rounding has left.
+PLACES, PARTNERS, ROUNDS, PASSES = 8, 64, 60, 6
 #: Sequence ids of the three kinds: full windows by task, combinations, greedy residuals.
 COMBINED, RESIDUAL = 1 << 61, 1 << 62
 #: Up to so many residual remainders their keys are broadcast to the ids; beyond, both sides are shuffled.
@@ -45,25 +46,33 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def combinations(counts: np.ndarray, window: int, partners: int = PARTNERS) -> np.ndarray:
-    """Rows of four lengths (0: none) that sum to the window, over lengths with counts[length] > 0."""
+    """Rows of PLACES lengths (0: none) that sum to the window, over lengths with counts[length] > 0.
+
+    Every length is tried with every one that fills the window, in three places with the partners that hold the most
+    documents, and in more places with a few of those, up to PLACES - 2 times the same.
+    """
     have = counts > 0
     lengths = np.flatnonzero(have)
+    if not len(lengths):
+        return np.zeros((0, PLACES), np.int64)
     common = lengths[np.argsort(-counts[lengths], kind="stable")[:partners]]
-    found = [np.stack([lengths, window - lengths], 1)]
-    pair = lengths[:, None] + common[None, :]
-    a, b = np.broadcast_to(lengths[:, None], pair.shape), np.broadcast_to(common[None, :], pair.shape)
-    found.append(np.stack([a.ravel(), b.ravel(), (window - pair).ravel()], 1))
-    few = common[: max(1, partners // 3)]
-    third = (pair[:, : len(few)])[:, :, None] + few[None, None, :]
-    shape = third.shape
-    found.append(np.stack([np.broadcast_to(lengths[:, None, None], shape).ravel(), np.broadcast_to(few[None, :, None], shape).ravel(), np.broadcast_to(few[None, None, :], shape).ravel(), (window - third).ravel()], 1))
+    few = common[: max(1, partners // 8)]
+    # what stands beside two free places: nothing, one partner, two of the few, or the same one several times
+    fixed = [(), *[(int(x),) for x in common], *[(int(x), int(y)) for i, x in enumerate(few) for y in few[i + 1 :]]]
+    fixed += [(int(x),) * k for x in common for k in range(2, PLACES - 1) if counts[x] >= k]
     out = []
-    for c in found:
-        last = c[:, -1]
-        c = c[(last > 0) & (last < window)]
-        c = np.sort(c[have[c[:, -1]]], axis=1)
-        out.append(np.pad(c, ((0, 0), (4 - c.shape[1], 0))))
-    return np.unique(np.concatenate(out), axis=0) if len(lengths) else np.zeros((0, 4), np.int64)
+    for f in fixed:
+        rest = window - sum(f)
+        first = lengths[lengths <= rest // 2] if rest > 0 else lengths[:0]
+        # one free place that fills the rest by itself, and two that do
+        last = rest - first
+        first = first[have[last]]
+        rows = np.zeros((len(first) + bool(rest > 0 and have[min(rest, len(have) - 1)] and rest < window), PLACES), np.int64)
+        rows[: len(first), 0], rows[: len(first), 1] = first, rest - first
+        rows[len(first) :, 0] = rest
+        rows[:, 2 : 2 + len(f)] = f
+        out.append(rows)
+    return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
 
 
 def repeats(combos: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -75,30 +84,32 @@ def repeats(combos: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.
         return np.zeros(0, np.int64)
     target = counts.astype(float)
     target[0] = 0
-    real = combos > 0
+    flat, width = combos.ravel(), combos.shape[1]
+    # by the weight of its length each place counts; empty places weigh nothing
+    weight = (np.arange(len(counts)) / len(counts)) ** 2
 
     def ax(x: np.ndarray) -> np.ndarray:
-        out = np.bincount(combos.ravel(), weights=np.repeat(x, combos.shape[1]), minlength=len(counts))
+        out = np.bincount(flat, weights=np.repeat(x, width), minlength=len(counts))
         out[0] = 0
         return out
 
-    weight = (np.arange(len(counts)) / len(counts)) ** 2
     uses = ax(np.ones(len(combos))) * weight
     x = y = np.zeros(len(combos))
     t = 1.0
     # a diagonal step: for each combination, what moving all that share its lengths would do
-    step = 1 / np.maximum((uses[combos] * real).sum(1), 1e-9)
+    step = 1 / np.maximum(uses[flat].reshape(-1, width).sum(1) * width / 4, 1e-9)
     for _ in range(rounds):
-        grad = (((ax(y) - target) * weight)[combos] * real).sum(1)
+        grad = ((ax(y) - target) * weight)[flat].reshape(-1, width).sum(1)
         z = np.maximum(0, y - step * grad)
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         y, x = z + (last - 1) / t * (z - x), z
     left, out = counts.astype(np.int64).copy(), np.zeros(len(combos), np.int64)
+    left[0] = np.iinfo(np.int64).max
     order = np.argsort(-x, kind="stable")
     for limit in (np.floor(x).astype(np.int64), None):  # rounded, then greedily what still fits
-        able = (limit[order] > 0) if limit is not None else ((left[combos[order]] > 0) | ~real[order]).all(1)
+        able = (limit[order] > 0) if limit is not None else (left[combos[order]] > 0).all(1)
         for i in order[able]:
-            lengths, uses_of = np.unique(combos[i][real[i]], return_counts=True)
+            lengths, uses_of = np.unique(combos[i][combos[i] > 0], return_counts=True)
             n = int((left[lengths] // uses_of).min())
             n = n if limit is None else min(n, int(limit[i]))
             out[i] += n
@@ -106,6 +117,22 @@ def repeats(combos: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.
     return out
 
 
+def solve(counts: np.ndarray, window: int, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Combinations and how often each is used: least squares over the histogram, then over what rounding left of it."""
+    left, combos, times = counts.astype(np.int64).copy(), [np.zeros((0, PLACES), np.int64)], [np.zeros(0, np.int64)]
+    for _ in range(passes):
+        c = combinations(left, window)
+        n = repeats(c, left)
+        if not n.any():
+            break
+        combos.append(c[n > 0])
+        times.append(n[n > 0])
+        used = np.bincount(combos[-1].ravel(), weights=np.repeat(times[-1], PLACES), minlength=len(left)).astype(np.int64)
+        used[0] = 0
+        left -= used
+    return np.concatenate(combos), np.concatenate(times)
+
+
 def slots(combos: np.ndarray, times: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """length -> (first rank of each stretch of slots, its first sequence, its offset); the last stretch's end closes it."""
     found: dict[int, list[tuple[int, int, int]]] = {}
@@ -153,8 +180,7 @@ def pack(parts: DataFrame, window: int = WINDOW) -> DataFrame:
     counts = np.zeros(window + 1, np.int64)
     for r in counted.groupBy("rest").agg(F.sum("n").alias("n")).collect():  # a row per length: window - 1 at most
         counts[r["rest"]] = r["n"]
-    combos = combinations(counts, window)
-    plan = slots(combos, repeats(combos, counts))
+    plan = slots(*solve(counts, window))
 
     upto = Window.partitionBy("rest").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select(F.col("task").alias("t"), F.col("rest").alias("r"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))

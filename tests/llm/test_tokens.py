@@ -127,6 +127,14 @@ def test_repeat_counts_never_exceed_the_histogram(lengths):
 def test_most_remainders_are_combined():
     counts = np.zeros(2049, int)
     counts[[500, 1548, 1000, 24, 1024]] = [100, 100, 50, 200, 80]
-    combos = packing.combinations(counts, 2048)
-    times = packing.repeats(combos, counts)
+    combos, times = packing.solve(counts, 2048)
+    used = np.bincount(combos.ravel(), weights=np.repeat(times, combos.shape[1]), minlength=2049)
+    assert (combos.sum(1) == 2048).all() and (used[1:] <= counts[1:]).all()
     assert (combos * times[:, None]).sum() >= 0.95 * (counts * np.arange(2049)).sum()
+
+
+def test_least_squares_places_nine_tenths(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = [p for p in packing.pack_documents(docs, PATH).collect() if p["length"] < 2048]
+    combined = sum(p["length"] for p in pieces if p["sequence_id"] < packing.RESIDUAL)
+    assert combined >= 0.9 * sum(p["length"] for p in pieces)
