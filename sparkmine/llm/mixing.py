@@ -4,34 +4,35 @@ The mix has as many words as all documents together. It is cut into equal slots;
 stretch of the cumulative weights the golden-ratio point frac(t * phi) falls, so that any run of slots holds the sources
 close to their shares. The slots of a source are ranked and joined, round after round, to the source's blocks: equal
 cuts of its documents, shuffled by a hash of their ids. A document's share of the mix is its overlap with the blocks
-taken, repeats counted. A source that is small against a block is scheduled by single words, so that it meets its
-target too, however large the corpus is.
+taken, repeats counted. A source of fewer than FINE blocks is scheduled by single words instead, so that it meets its
+target too, however large the corpus is; the slots that fall into its stretch stay empty. So at most SLOTS / FINE
+sources have slots.
 
 Nulls: a null text has size 0, a null source is a source of its own, ordered last, and a null id is hashed as such.
 Empty texts take no part but keep their row. Repeated rows are documents of their own. An empty table gives an empty
 result. Extra columns are ignored. A source whose share is over cap times its size stops there, and the excess goes to
 the others by weight. The same table gives the same result however it is dealt.
 
-Nothing is keyed by source alone but tables of one row per source or slot, and the number of slots is fixed: a source's
-documents are ranked in buckets of their hash, whose totals are added up first.
+Nothing is keyed by source alone but tables of one row per source or slot: a source's documents are ranked in buckets of
+their hash, whose totals are added up first. There are more buckets in larger tables, which changes no result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmine.llm.common import WORD, written
 
 #: Slots of the whole schedule: the mix misses a target by a few of them at most, and a block has 1/SLOTS of all words.
 SLOTS = 1 << 17
-#: A source of fewer blocks is scheduled by single words instead: slots of that size would miss its target by percents.
+#: A source of fewer blocks is scheduled by single words: slots of that size would miss its target by percents.
 FINE = 1_000
 #: Weights of the sources by code point, null last, repeating; no source is taken more than CAP times its size.
 WEIGHTS, CAP = (1, 2, 3), 3
 GOLDEN = 0.6180339887498949
-#: Hash buckets in which each source's documents are put in order.
-BUCKETS = 256
+#: Rows that all sources' buckets of one number have about, and the least number of buckets.
+BUCKET_ROWS, BUCKETS = 1_000_000, 256
 #: Shares of rows are broadcast up to so many.
 BROADCAST_ROWS = 1_000_000
 
@@ -62,22 +63,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
     )
 
 
+def _small(words) -> Column:
+    """Whether a source has fewer than FINE blocks of so many words."""
+    return F.col("source_size") < FINE * words
+
+
 def schedule(sources: DataFrame, slots: int = SLOTS, cap: int = CAP) -> DataFrame:
-    """rank (of the source), block, times: how often the schedule takes each block; at most slots rows."""
+    """rank (of the source), block, times: how often the schedule takes each block of the sources that aren't small; at
+    most slots rows."""
     upto = Window.orderBy("rank")
+    last = F.col("rank") == F.max("rank").over(Window.partitionBy())
     stretch = (
         sources.where("target > 0")
         .withColumn("high", F.sum("target").over(upto) / F.col("total"))
         .withColumn("low", F.coalesce(F.lag("high").over(upto), F.lit(0.0)))
+        .withColumn("high", F.when(last, 2.0).otherwise(F.col("high")))
         .withColumn("block_words", F.greatest(F.lit(1), F.ceil(F.col("total") / slots)))
         .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")))
         .withColumn("slots", F.ceil(F.col("total") / F.col("block_words")))
+        .where(~_small(F.col("block_words")))
     )
-    # points in ascending order are ranked without a sort by source: the list of stretches is one row of an array
-    ends = stretch.agg(F.array_sort(F.collect_list(F.struct("high", "rank", "blocks"))).alias("ends"), F.max("slots").alias("slots"))
+    # the list of stretches, SLOTS / FINE at most, is one row of an array
+    ends = stretch.agg(F.array_sort(F.collect_list(F.struct("high", "low", "rank", "blocks"))).alias("ends"), F.max("slots").alias("slots"))
     points = ends.select("ends", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("slots"), F.lit(1)) - 1)).alias("slot")).withColumn("u", (F.col("slot") * F.lit(GOLDEN)) % 1)
-    owner = F.coalesce(F.get(F.filter("ends", lambda e: e["high"] > F.col("u")), F.lit(0)), F.try_element_at("ends", F.lit(-1)))
-    drawn = points.select("slot", owner.alias("e")).select("slot", "e.rank", "e.blocks")
+    owner = F.get(F.filter("ends", lambda e: (e["low"] <= F.col("u")) & (e["high"] > F.col("u"))), F.lit(0))
+    drawn = points.select("slot", owner.alias("e")).where("e is not null").select("slot", "e.rank", "e.blocks")
     per_source = Window.partitionBy("rank").orderBy("slot")
     return drawn.withColumn("n", F.row_number().over(per_source) - 1).where(F.col("n") < cap * F.col("blocks")).groupBy("rank", (F.col("n") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
 
@@ -96,7 +106,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     sources = written(targets(narrow, weights, cap).coalesce(1))
     block_words = F.greatest(F.lit(1), F.ceil(F.col("total") / slots))
-    bucket = F.floor(F.conv(F.substring("shuffled", 1, 4), 16, 10).cast("int") * BUCKETS / 65536).cast("int")
+    buckets = max(BUCKETS, narrow.count() // BUCKET_ROWS)
+    # leading digits of the hash, so that buckets follow each other in the order of the hash
+    bucket = F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int")
     rows = narrow.withColumn("bucket", bucket)
     cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,13 +124,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     known = sources.withColumnRenamed("source", "s")
     known = F.broadcast(known) if sources.count() <= 100_000 else known
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("words", block_words)
-    small = (F.col("words") > 1) & (F.col("source_size") < FINE * F.col("words"))
+    small = _small(F.col("words"))
     cut = placed.where("size > 0").where(~small).select(
         "row", "rank", "at", "size", "words", F.explode(F.sequence(F.floor(F.col("at") / F.col("words")), F.floor((F.col("at") + F.col("size") - 1) / F.col("words")))).alias("block")
     )
     overlap = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest(F.col("at"), F.col("block") * F.col("words"))
     taken = cut.join(schedule(sources, slots, cap), ["rank", "block"]).groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"))
-    # with blocks of one word, whole rounds take each word and the last round those in front
+    # a small source by words: whole rounds take each word and the last round those in front
     draws = F.round("target").cast("long")
     last_round = F.least(F.greatest(draws % F.col("source_size") - F.col("at"), F.lit(0)), F.col("size"))
     by_word = F.when(F.col("size") > 0, F.floor(draws / F.col("source_size")) * F.col("size") + last_round)
@@ -161,6 +173,8 @@ drawn as (select slot, rank, blocks, row_number() over (partition by rank order
 times as (select rank, n % blocks as block, count(*) as times from drawn where n < {CAP} * blocks group by 1, 2),
 placed as (select d.doc_id, d.source, d.size, source_size, target, rank, words, cast(coalesce(sum(d.size) over (partition by d.source order by h, doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as bigint) as pos from d join src on d.source is not distinct from src.source),
 cut as (select doc_id, rank, pos, size, words, unnest(range(pos // words, (pos + size - 1) // words + 1)) as block from placed where size > 0),
-taken as (select doc_id, sum((least(pos + size, (block + 1) * words) - greatest(pos, block * words)) * times) as taken from cut join times using (rank, block) group by doc_id)
-select placed.doc_id, source, size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken from placed left join taken using (doc_id)
+taken as (select doc_id, sum((least(pos + size, (block + 1) * words) - greatest(pos, block * words)) * times) as taken from cut join times using (rank, block) group by doc_id),
+word as (select *, source_size < {FINE} * words as small, cast(round(target) as bigint) as draws from placed)
+select word.doc_id, source, size, source_size, target,
+cast(coalesce(case when size = 0 then 0 when small then draws // source_size * size + least(greatest(draws % source_size - pos, 0), size) else taken end, 0) as bigint) as taken from word left join taken using (doc_id)
 """

@@ -312,6 +312,25 @@ def test_mix(sample):
     assert all(again[r["doc_id"]] == r["taken"] for r in rows)
 
 
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01", "planted"])
+def test_mix_is_its_sql(spark, name):
+    """DuckDB gives the same rows; the planted table has sources far below a thousand blocks."""
+    import duckdb
+
+    con = duckdb.connect()
+    if name == "planted":
+        rows = [(i, "a", "w " * 150) for i in range(1500)] + [(10_000 + i, "b", "w " * 3) for i in range(20)] + [(20_000 + i, None, "w " * (i % 40)) for i in range(50)] + [(30_000, "z", None)]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        con.register("documents", docs.toPandas())
+    else:
+        docs = spark.read.parquet(f"/root/testdata/{name}/documents.parquet")
+        con.execute(f"create view documents as select * from '/root/testdata/{name}/documents.parquet'")
+    found = con.execute(mixing.OP6_SQL)
+    columns = [c[0] for c in found.description]
+    shaped = lambda rows: sorted((str(r[0]), str(r[1]), r[2], r[3], round(r[4], 3), r[5]) for r in rows)
+    assert shaped(mixing.mix(docs).select(*columns).collect()) == shaped(found.fetchall())
+
+
 def test_mix_hostile(hostile, empty):
     rows = mixing.mix(hostile).collect()
     assert len(rows) == hostile.count() and all(r["taken"] <= 3 * r["size"] for r in rows)
@@ -322,7 +341,7 @@ def test_mix_hostile(hostile, empty):
 def test_tiny_sources_beside_a_huge_one_meet_their_targets(spark):
     rows = [(i, "a", "w " * 2000) for i in range(1500)] + [(10_000 + i, "b", "w " * 10) for i in range(20)] + [(20_000 + i, "c", "w " * 20) for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    for slots in (mixing.SLOTS, 2000):  # blocks of 23 and 1,501 words
+    for slots in (mixing.SLOTS, 2000):  # blocks of 23 and 1,501 words, of which b and c have far too few
         taken, target = {}, {}
         for r in mixing.mix(docs, weights=(30_000, 1, 1), slots=slots).collect():
             assert 0 <= r["taken"] <= 3 * r["size"]
