@@ -5,7 +5,7 @@ most ``bits`` differing bits have at most ``bits // 2`` of them in one of their
 over the bits as they are and one with the halves swapped, with a budget of bits // 2 for the first 32 levels and of
 bits below. A walk takes pairs of nodes together, adds up their differing bits, and drops a pair whose budget is
 exceeded. The top levels deal subtrees out to tasks: a fingerprint goes to its own subtree and to the lower-numbered
-ones within the budget. Within a task, links are merged at once into components, and pairs of subtrees that are already
+ones within the budget; subtrees that are too large are parted by further levels. Within a task, links are merged at once into components, and pairs of subtrees that are already
 one component aren't opened, so dense groups don't give all their pairs. What leaves a task is one link per fingerprint
 at most; the components of these links are found by iterating over written tables.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,9 @@ from sparkmine.llm.common import bounded, partitions, written
 from sparkmine.llm.encode import batches
 
 SHINGLE, BITS, SEED = 3, 3, 42
-#: Fingerprints that a task's subtree has on average at most, and node pairs opened at once.
-SUBTREE, CHUNK = 40_000, 1 << 18
+#: Fingerprints that a task's subtree has on average at most, levels by which twice as large ones are parted, and node pairs
+#: opened at once.
+SUBTREE, STEP, CHUNK = 40_000, 4, 1 << 18
 #: Numbers of rows that stay are broadcast up to so many.
 BROADCAST_ROWS = 1_000_000
 
@@ -148,16 +150,31 @@ def _swap(x: np.ndarray) -> np.ndarray:
 
 def links(distinct: DataFrame, bits: int = BITS, subtree: int = SUBTREE) -> DataFrame:
     """fp, root: for each task's component of two or more fingerprints, links to its smallest; no link between different
-    fingerprints is lost to components. distinct: one row per fingerprint (fp long)."""
-    n = distinct.count()
+    fingerprints is lost to components. distinct: one row per fingerprint (fp long).
+
+    Subtrees begin as deep as makes them subtree large on average; those of more than twice that are parted by STEP
+    further levels, again and again, down to the whole first half.
+    """
+    half, n = bits // 2, distinct.count()
     p = min(20, max(4, int(np.ceil(np.log2(max(1, n) / subtree)))))
-    masks = [0, *(1 << i for i in range(p))]  # prefixes within the budget of the first half
-    for _ in range(bits // 2 - 1):
-        masks = sorted({a ^ b for a in masks for b in masks if bin(a ^ b).count("1") <= bits // 2})
     halves = [F.col("fp"), F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))]
-    turned = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.shiftrightunsigned(h, 64 - p).cast("int").alias("prefix")) for i, h in enumerate(halves)])).alias("x")).select("fp", "x.*")
-    home = F.col("prefix").bitwiseXOR(F.col("mask"))
-    dealt = turned.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).where(home <= F.col("prefix")).select("fp", "turn", home.alias("home"), (F.col("mask") == 0).alias("own"))
+    rows = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), h.alias("key")) for i, h in enumerate(halves)])).alias("x")).select("fp", "x.*")
+    rows = rows.select("fp", "turn", "key", F.lit(0).cast("long").alias("home"), F.lit(True).alias("own"), F.lit(0).alias("used"))
+
+    def parted(rows: DataFrame, done: int, more: int) -> DataFrame:
+        """Rows of subtrees done levels deep, dealt to their own subtrees more levels deeper and to those within the budget:
+        pairs of own rows meet in the lower one's, foreign rows go wherever own ones may be."""
+        masks = [(m, bin(m).count("1")) for m in range(1 << more) if bin(m).count("1") <= half] if more <= 12 else [(0, 0)]
+        if more > 12:  # the same, without looking at every number
+            for _ in range(half):
+                masks = sorted({(m | 1 << i, bin(m | 1 << i).count("1")) for m, _ in masks for i in range(more)} | set(masks))
+        here = F.shiftrightunsigned("key", 64 - done - more).bitwiseAND(F.lit((1 << more) - 1).cast("long"))
+        each = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(c).alias("count")) for m, c in masks])
+        dealt = rows.withColumn("here", here).withColumn("m", F.explode(F.filter(each, lambda x: x["count"] + F.col("used") <= half)))
+        to = F.col("here").bitwiseXOR(F.col("m.mask"))
+        return dealt.where(~F.col("own") | (to <= F.col("here"))).select(
+            "fp", "turn", "key", (F.col("home") * (1 << more) + to).alias("home"), (F.col("own") & (F.col("m.mask") == 0)).alias("own"), (F.col("used") + F.col("m.count")).alias("used")
+        )
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf["fp"].to_numpy().astype(np.uint64)
@@ -170,7 +187,22 @@ def links(distinct: DataFrame, bits: int = BITS, subtree: int = SUBTREE) -> Data
         fp = pdf["fp"].to_numpy()[order]
         return pd.DataFrame({"fp": fp[multi], "root": fp[label[multi]]})
 
-    return dealt.repartition(max(partitions(distinct.sparkSession), 2 << min(p, 10)), "turn", "home").groupBy("turn", "home").applyInPandas(walk, "fp long, root long")
+    found, rows = [], parted(rows, 0, p)
+    while True:
+        sizes = rows.groupBy("turn", "home").agg(F.count("*").alias("n")).where(F.col("n") > 2 * subtree).select(F.col("turn").alias("t"), F.col("home").alias("h"))
+        large = written(sizes) if p < 32 else None
+        count = large.count() if large is not None else 0
+        small = rows
+        if count:
+            large = F.broadcast(large) if count <= BROADCAST_ROWS else large
+            same = (F.col("turn") == F.col("t")) & (F.col("home") == F.col("h"))
+            small = rows.join(large, same, "left_anti")
+        found.append(small.repartition(max(partitions(distinct.sparkSession), 2 << min(p, 10)), "turn", "home").groupBy("turn", "home").applyInPandas(walk, "fp long, root long"))
+        if not count:
+            return reduce(DataFrame.unionByName, found)
+        more = min(STEP, 32 - p)
+        rows = parted(rows.join(large, same, "left_semi"), p, more)
+        p += more
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -212,7 +244,10 @@ def groups_of(marked: DataFrame, bits: int = BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """doc_id, fp, component_id: one row per row of docs."""
     marked = written(fingerprints(docs, id_col, text_col, shingle))
-    return marked.join(groups_of(marked, bits), "fp", "left").select("doc_id", "fp", "component_id")
+    groups = written(groups_of(marked, bits).select("fp", "component_id"))
+    # a row per fingerprint: few are broadcast, many are joined by shuffle, where a fingerprint of many rows is split
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    return marked.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:

@@ -75,6 +75,27 @@ def test_links_over_tasks(spark):
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("subtree", [30])
+def test_large_subtrees_are_parted(spark, subtree):
+    """Fingerprints that share their first bits fill one subtree, which is parted until it is small."""
+    r = np.random.default_rng(2)
+    keys = np.concatenate([near(5, 20, 12, 2), near(6, 12, 15, 2) & np.uint64(0x0000_0FFF_FFFF_FFFF), near(7, 8, 15, 3) & ~np.uint64(0xFFFF_F000)])
+    keys = np.unique(np.concatenate([keys, keys[::7] ^ (np.uint64(1) << r.integers(0, 64, len(keys[::7]), dtype=np.uint64))]))
+    df = spark.createDataFrame([(int(k),) for k in keys.astype(np.int64)], "fp long")
+    index = {int(k): i for i, k in enumerate(keys.astype(np.int64))}
+    parent = list(range(len(keys)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for row in simhash.links(df, subtree=subtree).collect():
+        a, b = sorted((find(index[row["fp"]]), find(index[row["root"]])))
+        parent[b] = a
+    assert [find(i) for i in range(len(keys))] == brute_components(keys)
+
+
 def test_connected_on_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)]
     got = {r["node"]: r["label"] for r in simhash.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
