@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from sparkmine.llm.common import partitions, written
 
 #: Neighbours kept per node, reverse neighbours joined per node, random blocks to start from, most rounds, and the share of changed edges that ends them.
-DEGREE, REVERSE, START_BLOCK, STARTS, ROUNDS, SETTLED = 24, 24, 256, 2, 8, 0.02
+DEGREE, REVERSE, START_BLOCK, STARTS, ROUNDS, SETTLED = 40, 40, 256, 2, 8, 0.01
 #: Search: nodes known at once, opened per round, rounds, and nodes compared exactly at the end. Nodes of a block.
-BEAM, OPENED, STEPS, FINAL, BLOCK = 96, 16, 6, 24, 1024
+BEAM, OPENED, STEPS, FINAL, BLOCK = 224, 32, 5, 24, 1024
 
 GRAPH = "node long, ids binary, sims binary, fresh binary"
 

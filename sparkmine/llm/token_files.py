@@ -58,9 +58,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         for pdf in frames:
             yield pd.DataFrame({"ids": [x + np.array([end_id], enc.dtype).tobytes() for x in enc.ids(pdf["text"].tolist())], "dtype": enc.dtype.str})
 
-    narrow = docs.where(F.length("text") <= SAMPLE_CHARS).select(F.xxhash64("doc_id", "text").alias("h"))
-    least = [r["h"] for r in narrow.orderBy("h").limit(SAMPLE_DOCS).collect()]
-    sample = docs.where((F.length("text") <= SAMPLE_CHARS) & (F.xxhash64("doc_id", "text") <= F.lit(least[-1] if least else 0))).select("doc_id", "text").limit(2 * SAMPLE_DOCS)
+    # by a hash of the ids, so that texts are read once more only where they are sampled
+    least = [r["h"] for r in docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCS).collect()]
+    sample = docs.where((F.xxhash64("doc_id") <= F.lit(least[-1] if least else 0)) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").limit(2 * SAMPLE_DOCS)
     got = sample.select("text").mapInPandas(serialize, "ids binary, dtype string").collect()
     trained = train(sorted(bytes(r["ids"]) for r in got))
     digest = hashlib.sha256(trained).hexdigest()
