@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkmine.lineage import cut
 from sparkmine.operators.mining import Pattern
 
 
@@ -36,7 +37,7 @@ def matches(adj: DataFrame, pattern: Pattern, induced: bool = True) -> DataFrame
             bound.add(b)
     if induced:
         joined = {frozenset(e[:2]) for e in edges}
-        pairs = adj.select("gid", "u", "v").distinct()
+        pairs = adj.select("gid", "u", "v")  # an anti join needs no distinct rows
         for a in range(len(labels)):
             for b in range(a + 1, len(labels)):
                 if frozenset((a, b)) not in joined:
@@ -63,16 +64,6 @@ def matches_sql(pattern: Pattern, induced: bool = True) -> str:
     return f"select distinct e0.gid from {', '.join(f'adj e{k}' for k in range(len(edges)))} where {' and '.join(where)}"
 
 
-def feature_bits(graph_ids: DataFrame, adj: DataFrame, features: list[Pattern], induced: bool = True) -> DataFrame:
-    """gid, bits: bit f is set if the graph holds feature f (up to 63 features)."""
-    found = None
-    for f, pattern in enumerate(features):
-        one = matches(adj, pattern, induced).withColumn("bit", F.lit(1 << f).cast("long"))
-        found = one if found is None else found.unionByName(one)
-    bits = found.groupBy("gid").agg(F.sum("bit").alias("bits"))
-    return graph_ids.join(bits, "gid", "left").select("gid", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-
-
 def bit_rows(bits: DataFrame, n: int) -> DataFrame:
     """f, ones, graphs: how many graphs hold each feature."""
     flags = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda f: F.struct(f.alias("f"), F.getbit("bits", f).cast("long").alias("one"))))
@@ -99,22 +90,41 @@ def select_features(variance: dict[int, float], jaccard: dict[tuple[int, int], f
     return picked
 
 
-def dominating(queries: DataFrame, database: DataFrame) -> DataFrame:
-    """qid, gid of every database graph whose bits hold all of the query's.
+#: Parts that each feature's masks are dealt into, and distinct masks of the queries that are broadcast at most.
+PARTS, BROADCAST_ROWS = 16, 100_000
+
+
+def mask_pairs(queries: DataFrame, masks: DataFrame) -> DataFrame:
+    """bits, mask for each distinct bits of the queries and each mask that holds all of them; masks: distinct.
 
-    Only distinct masks are compared, of which there are few; graphs are joined to the pairs of masks by equality.
+    Joined by equality: a query's bits meet only the masks that hold the rarest of its features; each feature's masks are
+    dealt into PARTS. Bits without any feature are in every mask.
     """
-    q, d = queries.select("bits").distinct(), database.select(F.col("bits").alias("mask")).distinct()
-    pairs = q.join(F.broadcast(d) if d.count() <= 100_000 else d, F.col("bits").bitwiseAND(F.bitwise_not("mask")) == 0)
+    every = F.sequence(F.lit(0), F.lit(62))
+    set_of = lambda c: F.filter(every, lambda f: F.getbit(c, f) == 1)
+    held = masks.select("mask", F.explode(set_of(F.col("mask"))).alias("f"))
+    counts = {r["f"]: r["n"] for r in held.groupBy("f").agg(F.count("*").alias("n")).collect()}  # a row per feature, 63 at most
+    order = F.array(*[F.lit(f) for f in sorted(range(63), key=lambda f: (counts.get(f, 0), f))])
+    q = queries.select("bits").distinct()
+    some = q.where("bits <> 0").withColumn("f", F.get(F.filter(order, lambda f: F.getbit("bits", f) == 1), F.lit(0)))
+    some = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = held.withColumn("part", F.pmod(F.hash("mask"), F.lit(PARTS)))
+    met = dealt.join(F.broadcast(some) if q.count() <= BROADCAST_ROWS else some, ["f", "part"]).where(F.col("bits").bitwiseAND(F.bitwise_not("mask")) == 0)
+    none = masks.select(F.lit(0).cast("long").alias("bits"), "mask")
+    return met.select("bits", "mask").unionByName(none)
+
+
+def dominating(queries: DataFrame, database: DataFrame) -> DataFrame:
+    """qid, gid of every database graph whose bits hold all of the query's. Only distinct masks are compared."""
+    pairs = mask_pairs(queries, database.select(F.col("bits").alias("mask")).distinct())
     return queries.join(pairs, "bits").join(database.withColumnRenamed("bits", "mask"), "mask").select("qid", "gid")
 
 
 def candidate_counts(queries: DataFrame, database: DataFrame) -> DataFrame:
-    """qid, candidates: how many database graphs remain, from counts per mask."""
-    masks = database.groupBy(F.col("bits").alias("mask")).agg(F.count("*").alias("n"))
-    q = queries.select("bits").distinct()
-    pairs = q.join(F.broadcast(masks) if masks.count() <= 100_000 else masks, F.col("bits").bitwiseAND(F.bitwise_not("mask")) == 0)
-    return queries.join(pairs.groupBy("bits").agg(F.sum("n").alias("candidates")), "bits").select("qid", "candidates")
+    """qid, candidates, first, last: how many database graphs remain, and their least and greatest id, from sums per mask."""
+    masks = cut(database.groupBy(F.col("bits").alias("mask")).agg(F.count("*").alias("n"), F.min("gid").alias("least"), F.max("gid").alias("most")))
+    per = mask_pairs(queries, masks.select("mask")).join(masks, "mask").groupBy("bits").agg(F.sum("n").alias("candidates"), F.min("least").alias("first"), F.max("most").alias("last"))
+    return queries.join(per, "bits").select("qid", "candidates", "first", "last")
 
 
 def label_signature(nodes: DataFrame, edges: DataFrame) -> DataFrame:

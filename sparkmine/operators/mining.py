@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations, product
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,27 +11,46 @@ from sparkmine.lineage import cut
 Pattern = tuple[tuple[str, ...], tuple[tuple[int, int, str], ...]]
 
 
+def _refined(klass: list[int], around: list[list[tuple[str, int]]]) -> list[int]:
+    """Classes parted by their neighbours' classes until none parts any more; the order of classes is kept."""
+    while True:
+        keys = [(klass[v], tuple(sorted((label, klass[w]) for label, w in around[v]))) for v in range(len(klass))]
+        rank = {k: i for i, k in enumerate(sorted(set(keys)))}
+        new = [rank[k] for k in keys]
+        if new == klass:
+            return klass
+        klass = new
+
+
 def canonical(labels: tuple[str, ...], edges: tuple[tuple[int, int, str], ...]) -> tuple[Pattern, tuple[int, ...]]:
-    """The least form over all numberings, and which old vertex each new one is.
+    """The least form over the numberings that a search tree reaches, and which old vertex each new one is.
 
-    Vertices are first classed by label and, round after round, by their neighbours' classes; only numberings that keep
-    the order of the classes are tried, and equal forms belong to isomorphic patterns.
+    Vertices are classed by label and, round after round, by their neighbours' classes. Where a class holds several,
+    each in turn is put before the others and the classes are refined again, so that a symmetric ring of n vertices
+    takes 2 n numberings and not n factorial. Equal forms belong to isomorphic patterns.
     """
     n = len(labels)
-    klass: list = list(labels)
-    around = [[(label, j if i == v else i) for i, j, label in edges if v in (i, j)] for v in range(n)]
-    for _ in range(n):
-        keys = [(klass[v], tuple(sorted((label, klass[w]) for label, w in around[v]))) for v in range(n)]
-        rank = {k: i for i, k in enumerate(sorted(set(keys)))}
-        klass = [(rank[k],) for k in keys]
-    groups: dict = {}
-    for v in range(n):
-        groups.setdefault(klass[v], []).append(v)
+    around: list[list[tuple[str, int]]] = [[] for _ in range(n)]
+    for i, j, label in edges:
+        around[i].append((label, j))
+        around[j].append((label, i))
+    rank = {x: i for i, x in enumerate(sorted(set(labels)))}
     best = None
-    for parts in product(*(permutations(groups[k]) for k in sorted(groups))):
-        order = [v for part in parts for v in part]
-        place = {v: i for i, v in enumerate(order)}
-        form = (tuple(labels[v] for v in order), tuple(sorted((min(place[i], place[j]), max(place[i], place[j]), label) for i, j, label in edges)))
+    open_ = [_refined([rank[x] for x in labels], around)]
+    while open_:
+        klass = open_.pop()
+        size = [0] * n
+        for k in klass:
+            size[k] += 1
+        tied = next((k for k in range(n) if size[k] > 1), None)
+        if tied is not None:
+            for v in (v for v in range(n) if klass[v] == tied):
+                keys = [(k, w != v if k == tied else False) for w, k in enumerate(klass)]
+                place = {k: i for i, k in enumerate(sorted(set(keys)))}
+                open_.append(_refined([place[k] for k in keys], around))
+            continue
+        order = sorted(range(n), key=klass.__getitem__)
+        form = (tuple(labels[v] for v in order), tuple(sorted((min(klass[i], klass[j]), max(klass[i], klass[j]), label) for i, j, label in edges)))
         if best is None or form < best[0]:
             best = (form, tuple(order))
     return best
@@ -65,8 +82,13 @@ def edge_triple_support(adj: DataFrame) -> DataFrame:
     return adj.where("lu <= lv").groupBy(F.col("lu").alias("l1"), "el", F.col("lv").alias("l2")).agg(F.countDistinct("gid").alias("support"))
 
 
-def frequent_subgraphs(nodes: DataFrame, edges: DataFrame, support: int, max_edges: int, max_nodes: int | None = None) -> list[tuple[Pattern, int]]:
-    """All connected patterns of 1 to max_edges edges that occur (not necessarily induced) in so many graphs.
+#: The kinds of pattern that each phase grows; every part of such a pattern is of them too.
+PHASES = {"path": ("path",), "tree": ("path", "tree"), "cyclic": ("path", "tree", "cyclic")}
+
+
+def frequent_subgraphs(nodes: DataFrame, edges: DataFrame, support: int, max_edges: int, max_nodes: int | None = None, phase: str = "cyclic") -> list[tuple[Pattern, int]]:
+    """All connected patterns of 1 to max_edges edges that occur (not necessarily induced) in so many graphs; phase: paths
+    only, trees too, or all.
 
     Only keys of distinct extensions, of which there are as many as label combinations, come to the driver. An
     occurrence is kept once, whatever its automorphisms: every vertex is extended at the next level.
@@ -105,6 +127,8 @@ def frequent_subgraphs(nodes: DataFrame, edges: DataFrame, support: int, max_edg
             grown = labels if k["j"] >= 0 else (*labels, k["lv"])
             to = k["j"] if k["j"] >= 0 else len(labels)
             pattern, order = canonical(grown, (*es, (min(k["i"], to), max(k["i"], to), k["el"])))
+            if kind(pattern) not in PHASES[phase]:
+                continue
             pid = new.setdefault(pattern, len(new))
             moves.append((k["pid"], k["i"], k["j"], k["el"], k["lv"] or "", pid, [int(x) for x in order], [[i, j] for i, j, _ in pattern[1]]))
         if not moves:

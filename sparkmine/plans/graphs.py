@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from sparkmine.operators import matching, mining
+from sparkmine.lineage import cut
+from sparkmine.operators import indexing, matching, mining
 from sparkmine.plans.registry import query
 from sparkmine.sources.tables import GRAPHS_SQL, graphs
 from sparkmine.sources.text import support_threshold
@@ -113,16 +114,11 @@ def triangles(spark, sf_dir):
     return spark.createDataFrame(rows, "walk string, support long")
 
 
-@query(
-    "fsm_class_counts",
-    f"""with {GRAPHS_SQL}, {_NEED}, one as ({_TRIPLES}), two as ({_PATH2}), three as ({_PATH3}),
-tri as (select min(t) over (partition by gid, k) as t, gid from (select s.gid, least(s.u, t.u, w.u) || ':' || greatest(s.u, t.u, w.u) || ':' || (s.u + t.u + w.u) as k, s.lu || s.el || s.lv || t.el || t.lv || w.el as t from adj s join adj t on t.gid = s.gid and t.u = s.v and t.v <> s.u join adj w on w.gid = t.gid and w.u = t.v and w.v = s.u)),
-kinds as (select 1 as n_edges, 'path' as kind, support from one union all select 2, 'path', support from two union all select 3, 'path', support from three union all select 3, 'cyclic', count(distinct gid) from tri group by t)
-select n_edges, kind, count(*) as patterns from kinds, need where support >= m group by 1, 2""",
-)
+@query("fsm_class_counts")
 def class_counts(spark, sf_dir):
+    """Patterns of up to nine edges by size and kind."""
     nodes, edges = graphs(spark, sf_dir)
-    rows = mining.pattern_rows(spark, mining.frequent_subgraphs(nodes, edges, _support(nodes), 3))
+    rows = mining.pattern_rows(spark, mining.frequent_subgraphs(nodes, edges, 5 * _support(nodes), indexing.SIZES[1]))
     return rows.groupBy("n_edges", "kind").agg(F.count("*").alias("patterns"))
 
 
@@ -131,7 +127,7 @@ def _match_sql(induced: bool) -> str:
 
 
 def _match(spark, sf_dir, induced):
-    adj = mining.adjacency(*graphs(spark, sf_dir))
+    adj = cut(mining.adjacency(*graphs(spark, sf_dir)))  # read once for every pattern edge
     out = None
     for i, p in enumerate(FEATURES):
         one = matching.matches(adj, p, induced).agg(F.lit(i).alias("feature"), F.count("*").alias("graphs"))
@@ -159,8 +155,7 @@ _FLAGS = f"flag as (select gid, f, (bits >> f) & 1 as one from bits, (select unn
 
 
 def _bits(spark, sf_dir):
-    nodes, edges = graphs(spark, sf_dir)
-    return matching.feature_bits(nodes.select("gid").distinct(), mining.adjacency(nodes, edges), FEATURES)
+    return cut(indexing.hit_bits(indexing.pattern_hits(indexing.graph_rows(*graphs(spark, sf_dir)), FEATURES)))
 
 
 @query("feature_bits", f"with {_BITS} select gid, bits from bits")
@@ -200,15 +195,33 @@ def greedy(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(matching.select_features(var, over, 2), 1)), "rank long, f long")
 
 
-@query("candidate_filter", f"with {_BITS} select q.gid as qid, count(*) as candidates, min(d.gid) as first, max(d.gid) as last from bits q join bits d on (q.bits & ~d.bits) = 0 where q.gid % 200 = 0 group by 1")
+@query("candidate_filter", f"with {_BITS} select q.gid as qid, count(*) as candidates, min(d.gid) as first, max(d.gid) as last from bits q join bits d on (q.bits & ~d.bits) = 0 where q.gid % 20 = 0 group by 1")
 def candidate_filter(spark, sf_dir):
     rows = _bits(spark, sf_dir)
-    found = matching.dominating(rows.where("gid % 200 = 0").withColumnRenamed("gid", "qid"), rows)
-    return found.groupBy("qid").agg(F.count("*").alias("candidates"), F.min("gid").alias("first"), F.max("gid").alias("last"))
+    return matching.candidate_counts(rows.where("gid % 20 = 0").withColumnRenamed("gid", "qid"), rows)
 
 
-@query("candidate_stats", f"with {_BITS}, c as (select q.gid as qid, count(*) as n from bits q join bits d on (q.bits & ~d.bits) = 0 where q.gid % 200 = 0 group by 1) select min(n) as least, max(n) as most, round(avg(n), 6) as mean from c")
+@query("candidate_stats", f"with {_BITS}, c as (select q.gid as qid, count(*) as n from bits q join bits d on (q.bits & ~d.bits) = 0 where q.gid % 20 = 0 group by 1) select min(n) as least, max(n) as most, round(avg(n), 6) as mean from c")
 def candidate_stats(spark, sf_dir):
     rows = _bits(spark, sf_dir)
-    counts = matching.candidate_counts(rows.where("gid % 200 = 0").withColumnRenamed("gid", "qid"), rows)
+    counts = matching.candidate_counts(rows.where("gid % 20 = 0").withColumnRenamed("gid", "qid"), rows)
     return counts.agg(F.min("candidates").alias("least"), F.max("candidates").alias("most"), F.round(F.avg("candidates"), 6).alias("mean"))
+
+
+def _index(spark, sf_dir):
+    return indexing.index_features(*graphs(spark, sf_dir))
+
+
+@query("feature_select50")
+def select50(spark, sf_dir):
+    """The index's patterns in the order of picking: mined, of two to nine edges, near half support, of little overlap."""
+    rows = mining.pattern_rows(spark, _index(spark, sf_dir)).collect()  # fifty at most
+    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "rank int, code string, kind string, n_nodes int, n_edges int, support long")
+
+
+@query("index_candidates")
+def index_candidates(spark, sf_dir):
+    """How many graphs remain for each query graph (ids divisible by 20) when looked up in the index of mined patterns."""
+    picked = [p for p, _ in _index(spark, sf_dir)]
+    bits = cut(indexing.hit_bits(indexing.pattern_hits(indexing.graph_rows(*graphs(spark, sf_dir)), picked)))
+    return matching.candidate_counts(bits.where("gid % 20 = 0").withColumnRenamed("gid", "qid"), bits).select("qid", "candidates")
