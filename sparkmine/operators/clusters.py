@@ -71,27 +71,118 @@ def first_points(points: DataFrame, k: int) -> np.ndarray:
     return np.array([r["x"] for r in points.orderBy("id").limit(k).collect()])
 
 
+def _products(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ centroids.T) + (centroids * centroids).sum(1)[None], 0)
+
+
+def lloyd_many(points: DataFrame, starts: list[np.ndarray], rounds: int = 100) -> list[tuple[np.ndarray, float]]:
+    """lloyd() of every start at once: a round is one pass over the points for all of them that still move.
+
+    The squared errors come from a last pass over all final centroids.
+    """
+    state, moving = [np.asarray(s, float) for s in starts], list(range(len(starts)))
+
+    def reduced(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts and sums of each centroid's points, and the squared error of each set."""
+        every = np.concatenate(sets)
+        cuts = np.cumsum([0, *map(len, sets)])
+
+        def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n, s, e = np.zeros(len(every)), np.zeros_like(every), np.zeros(len(every))
+            for pdf in frames:
+                for at in range(0, len(pdf), 1024):
+                    x = np.stack(pdf["x"].iloc[at : at + 1024].tolist())
+                    d = _products(x, every)
+                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                        near = d[:, a:b].argmin(1)
+                        np.add.at(n, a + near, 1)
+                        np.add.at(s, a + near, x)
+                        e[a] += ((x - every[a + near]) ** 2).sum()
+            if n.any():
+                yield pd.DataFrame({"c": np.arange(len(n)), "n": n, "s": list(s), "e": e})
+
+        dims = [F.sum(F.element_at("s", i + 1)).alias(f"d{i}") for i in range(every.shape[1])]
+        n, s, e = np.zeros(len(every)), np.zeros_like(every), np.zeros(len(every))
+        rows = points.select("x").mapInPandas(part, "c int, n double, s array<double>, e double")
+        for r in rows.groupBy("c").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), *dims).collect():  # a row per centroid
+            n[r["c"]], e[r["c"]], s[r["c"]] = r["n"], r["e"], [r[f"d{i}"] for i in range(every.shape[1])]
+        return n, s, e[cuts[:-1]]
+
+    for _ in range(rounds):
+        if not moving:
+            break
+        n, s, _ = reduced([state[i] for i in moving])
+        at, still = 0, []
+        for i in moving:
+            k = len(state[i])
+            new = np.where(n[at : at + k, None] > 0, s[at : at + k] / np.maximum(n[at : at + k, None], 1), state[i])
+            if not (np.abs(new - state[i]) <= 1e-8 + 1e-5 * np.abs(state[i])).all():
+                still.append(i)
+            state[i] = new
+            at += k
+        moving = still
+    errors = reduced(state)[2] if state else []
+    return [(c, float(e)) for c, e in zip(state, errors, strict=True)]
+
+
 def seed_plus_plus(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
-    """k-means++: each next point is drawn by its squared distance, by exponential races so that no prefix sum is needed."""
-    first = points.orderBy(uniform("seed", seed, F.col("id")), "id").limit(1).collect()
-    found = [r["x"] for r in first]
-    while found and len(found) < k:
-        race = -F.log(F.greatest(uniform("seed", seed, len(found), F.col("p.id")), F.lit(1e-12)))
-        near = assign(points, np.array(found)).alias("d")
-        # all distances zero: any point, uniformly
-        best = points.alias("p").join(near, F.col("p.id") == F.col("d.id")).orderBy(F.when(F.col("d2") > 0, race / F.col("d2")).otherwise(F.lit(float("inf"))), race, "p.id").select("p.x").limit(1).collect()
-        found.append(best[0]["x"])
-    return np.array(found)
+    """k-means++: each next point is drawn by its squared distance, by exponential races so that no prefix sum is needed.
+
+    Fewer draws with the same seed are its first points.
+    """
+    return seeds_plus_plus(points, k, [seed])[0]
+
+
+def seeds_plus_plus(points: DataFrame, k: int, seeds: list[int]) -> list[np.ndarray]:
+    """seed_plus_plus() of several seeds: each round draws a point for all of them in one pass, and each task passes on its
+    winners only."""
+    found: list[list[list[float]]] = [[] for _ in seeds]
+    for at in range(k):
+        near = [np.array(f) if f else None for f in found]
+        races = [F.when(F.lit(True), -F.log(F.greatest(uniform("seed", s, at, F.col("id")), F.lit(1e-12)))).alias(f"r{j}") for j, s in enumerate(seeds)]
+
+        def winners(frames: Iterator[pd.DataFrame], near=near) -> Iterator[pd.DataFrame]:
+            best: list = [None] * len(near)
+            for pdf in frames:
+                if not len(pdf):
+                    continue
+                x, ids = np.stack(pdf["x"].tolist()), pdf["id"].to_numpy()
+                for j, c in enumerate(near):
+                    race = pdf[f"r{j}"].to_numpy()
+                    d = np.ones(len(x)) if c is None else _products(x, c).min(1)
+                    d[d < 1e-12] = 0
+                    with np.errstate(divide="ignore"):
+                        key = np.where(d > 0, race / d, np.inf)
+                    i = np.lexsort((ids, race, key))[0]  # all distances zero: any point, uniformly
+                    mine = (float(key[i]), float(race[i]), int(ids[i]), x[i].tolist())
+                    best[j] = mine if best[j] is None else min(best[j], mine)
+            rows = [(j, *b) for j, b in enumerate(best) if b]
+            if rows:
+                yield pd.DataFrame(rows, columns=["j", "key", "race", "id", "x"])
+
+        rows = points.select("id", "x", *races).mapInPandas(winners, "j int, key double, race double, id long, x array<double>")
+        first = rows.groupBy("j").agg(F.min(F.struct("key", "race", "id", "x")).alias("w")).collect()  # a row per seed
+        for r in first:
+            found[r["j"]].append(r["w"]["x"])
+        if len(first) < len(seeds):
+            break
+    return [np.array(f) for f in found]
 
 
 def kmeans(points: DataFrame, k: int, restarts: int = 10, rounds: int = 100) -> tuple[np.ndarray, float]:
     """The restart of least squared error."""
-    return min((lloyd(points, seed_plus_plus(points, k, r), rounds) for r in range(restarts)), key=lambda x: x[1])
+    return min(lloyd_many(points, seeds_plus_plus(points, k, list(range(restarts))), rounds), key=lambda x: x[1])
 
 
-def sweep(points: DataFrame, ks: range, rounds: int) -> list[tuple[int, float]]:
-    """(k, squared error) from the first k points by id."""
-    return [(k, lloyd(points, first_points(points, k), rounds)[1]) for k in ks]
+def sweep(points: DataFrame, ks: range, restarts: int = 10, rounds: int = 100) -> list[tuple[int, float]]:
+    """(k, the least squared error of the restarts), all k and restarts advancing together."""
+    seeds = seeds_plus_plus(points, max(ks), list(range(restarts)))
+    tasks = [(k, s[:k]) for k in ks for s in seeds if len(s) >= k]
+    best: dict[int, float] = {}
+    for (k, _), (_, error) in zip(tasks, lloyd_many(points, [s for _, s in tasks], rounds), strict=True):
+        best[k] = min(best.get(k, float("inf")), error)
+    return sorted(best.items())
 
 
 def elbow(series: DataFrame) -> DataFrame:

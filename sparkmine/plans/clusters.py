@@ -35,28 +35,39 @@ def lloyd(spark, sf_dir):
     return clusters.assign(points, centroids).groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum("d2"), 4).alias("sse"))
 
 
-KS = range(1, 7)
+KS, RESTARTS, MOST = range(1, 16), 10, 100
 
 
-def _sweep() -> str:
-    parts = [f"select {k} as k, (select sum(d2) from ({'with ' + _lloyd(k, 2)} select d2 from a2)) as sse" for k in KS]
-    return " union all ".join(parts)
+def _series(spark, sf_dir):
+    return spark.createDataFrame(clusters.sweep(vectors(spark, sf_dir), KS, RESTARTS, MOST), "k int, sse double")
 
 
-@query("kmeans_sse_sweep", f"select k, round(sse, 4) as sse from ({_sweep()})")
+@query("kmeans_sse_sweep")
 def sweep(spark, sf_dir):
-    rows = clusters.sweep(vectors(spark, sf_dir), KS, 2)
-    return spark.createDataFrame(rows, "k int, sse double").select("k", F.round("sse", 4).alias("sse"))
+    """k = 1 to 15, the best of ten restarts of at most a hundred rounds each."""
+    return _series(spark, sf_dir).select("k", F.round("sse", 4).alias("sse"))
 
 
-@query(
-    "kmeans_elbow",
-    f"""with s as ({_sweep()}), e as (select arg_min(k, k) as ak, arg_min(sse, k) as a, arg_max(k, k) as bk, arg_max(sse, k) as b from s)
-select k, round(abs((bk - ak) * (a - sse) - (ak - k) * (b - a)) / sqrt((bk - ak) * (bk - ak) + (b - a) * (b - a)), 4) as distance from s, e order by 2 desc, 1 limit 1""",
-)
+@query("kmeans_elbow")
 def elbow(spark, sf_dir):
-    rows = spark.createDataFrame(clusters.sweep(vectors(spark, sf_dir), KS, 2), "k int, sse double")
-    return clusters.elbow(rows).select("k", F.round("distance", 4).alias("distance"))
+    return clusters.elbow(_series(spark, sf_dir)).select("k", F.round("distance", 4).alias("distance"))
+
+
+_FIXED = ((1, 10.0), (2, 2.0), (3, 1.0), (4, 0.5), (5, 0.0))
+
+
+@query("elbow_of_series", f"with s(k, sse) as (values {', '.join(f'({k}, {x}e0)' for k, x in _FIXED)}), e as (select arg_min(k, k) as ak, arg_min(sse, k) as a, arg_max(k, k) as bk, arg_max(sse, k) as b from s) select cast(k as int) as k, round(abs((bk - ak) * (a - sse) - (ak - k) * (b - a)) / sqrt((bk - ak) * (bk - ak) + (b - a) * (b - a)), 4) as distance from s, e order by 2 desc, 1 limit 1")
+def elbow_of_series(spark, sf_dir):
+    """The elbow of a given series, a fixture of five points."""
+    return clusters.elbow(spark.createDataFrame(list(_FIXED), "k int, sse double")).select("k", F.round("distance", 4).alias("distance"))
+
+
+@query("kmeans_lloyd_k1", f"with {VECTORS_SQL}, m as (select i, avg(x[i]) as m from vec, (select unnest(range(1, 65)) as i) t group by i) select round(sum((x[i] - m) * (x[i] - m)), 4) as sse from vec, m")
+def lloyd_k1(spark, sf_dir):
+    """The sweep's first point: with one cluster the error is the total variance about the mean."""
+    points = vectors(spark, sf_dir)
+    error = clusters.lloyd_many(points, [clusters.first_points(points, 1)])[0][1]
+    return spark.createDataFrame([(error,)], "sse double").select(F.round("sse", 4).alias("sse"))
 
 
 @query("kmeanspp_mind2", f"with {VECTORS_SQL}, c0 as (select id as k, x from vec where id < 3), {_assign(0)} select id, round(d2, 6) as d2 from a0")
@@ -67,7 +78,7 @@ def min_distances(spark, sf_dir):
 
 @query("kmeans_best_of")
 def best_of(spark, sf_dir):
-    centroids, _ = clusters.kmeans(vectors(spark, sf_dir), 3, restarts=2, rounds=5)
+    centroids, _ = clusters.kmeans(vectors(spark, sf_dir), K, RESTARTS, MOST)
     return clusters.assign(vectors(spark, sf_dir), centroids).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("d2").alias("sse"))
 
 
