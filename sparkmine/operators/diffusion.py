@@ -83,18 +83,23 @@ def gains(live: DataFrame, seeds: DataFrame, some: DataFrame, samples: int, hops
 
 
 def greedy_block(edges: DataFrame, seeds: DataFrame, k: int, samples: int, hops: int, short: int = 5) -> DataFrame:
-    """rank, u, v, gain: edges blocked one after the other, each time that of most gain among the short * k most frequent."""
+    """rank, u, v, gain: edges blocked one after the other, each time that of most gain; filled up to k as pad() does, without a
+    gain. Only where k is above short, and short * k candidates are fewer than there are, the most frequent ones are tried."""
     spark = edges.sparkSession
-    live = cut(live_edges(prune(edges, seeds, hops), samples))
+    pruned = cut(prune(edges, seeds, hops))
+    live = cut(live_edges(pruned, samples))
     rows = []
     for rank in range(1, k + 1):
-        some = shortlist(candidates(live, reach(live, in_samples(seeds, samples), hops)), short * k)
+        cands = cut(candidates(live, reach(live, in_samples(seeds, samples), hops)).groupBy("u", "v").agg(F.count("*").alias("samples")))
+        some = cands.orderBy(F.desc("samples"), "u", "v").limit(short * k) if k > short and cands.count() > short * k else cands
         best = gains(live, seeds, some, samples, hops).orderBy(F.desc("gain"), "u", "v").first()
         if best is None:
             break
         rows.append((rank, best["u"], best["v"], best["gain"]))
         live = cut(live.where(~((F.col("u") == best["u"]) & (F.col("v") == best["v"]))))
-    return spark.createDataFrame(rows, "rank int, u long, v long, gain double")
+    chosen = spark.createDataFrame(rows, "rank int, u long, v long, gain double")
+    padded = pad(chosen.select("rank", "u", "v"), edges, seeds, pruned, k)
+    return padded.join(chosen.drop("rank"), ["u", "v"], "left").select(F.col("rank").cast("int").alias("rank"), "u", "v", "gain")
 
 
 def one_hop_sources(edges: DataFrame, seeds: DataFrame) -> DataFrame:

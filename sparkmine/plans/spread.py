@@ -117,4 +117,4 @@ def pad(spark, sf_dir):
 @query("greedy_block_k")
 def greedy(spark, sf_dir):
     edges = digraph(spark, sf_dir)
-    return diffusion.greedy_block(edges, seeds(edges), 2, 4, HOPS)
+    return diffusion.greedy_block(edges, seeds(edges), 6, 4, HOPS)

@@ -47,7 +47,7 @@ def graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 PROBABILITY, SAMPLES, MAX_SEED = 0.2, 8, 5
 DIGRAPH_SQL = """
-pair as (select distinct l_suppkey as s, l_partkey + 1000000 as p from lineitem where l_returnflag = 'R' and l_linestatus = 'F' and l_shipdate < timestamp '1996-01-01 00:00:00'),
+pair as (select distinct l_suppkey as s, l_partkey + 1000000 as p from lineitem where l_returnflag = 'R' and l_linestatus = 'F'),
 digraph as (select s as u, p as v from pair union all select p, s from pair),
 seed as (select distinct u as node from digraph where u <= 5)
 """
@@ -55,7 +55,7 @@ seed as (select distinct u as node from digraph where u <= 5)
 
 def digraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """u, v, p: distinct edges in both directions."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'F' and l_shipdate < timestamp '1996-01-01 00:00:00'")
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'F'")
     pairs = lines.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).distinct()
     return pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("p", F.lit(PROBABILITY))
 
@@ -97,16 +97,16 @@ LINKS_SQL = (
     VECTORS_SQL
     + """,
 total as (select count(*) as n from vec),
-pos as (select id as pid, id as u, (7 * id + 13) % n as v from vec, total where id % 10 = 0),
-neg as (select id as pid, j as k, id as u, (id + 1 + 37 * j) % n as v from vec, total, (select unnest(range(50)) as j) t where id % 10 = 0)
+pos as (select id as pid, id as u, (7 * id + 13) % n as v from vec, total),
+neg as (select id as pid, j as k, id as u, (id + 1 + 37 * j) % n as v from vec, total, (select unnest(range(500)) as j) t)
 """
 )
 
 
 def link_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """pos (pid, u, v) and neg (pid, k, u, v)."""
+    """pos (pid, u, v), one of every node, and neg (pid, k, u, v), five hundred of each."""
     n = nodes.count()
-    some = nodes.where(F.col("id") % 10 == 0).select("id")
+    some = nodes.select("id")
     pos = some.select(F.col("id").alias("pid"), F.col("id").alias("u"), ((7 * F.col("id") + 13) % n).alias("v"))
-    neg = some.select(F.col("id").alias("pid"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("k"), F.col("id").alias("u")).select("pid", "k", "u", ((F.col("u") + 1 + 37 * F.col("k")) % n).alias("v"))
+    neg = some.select(F.col("id").alias("pid"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(499).cast("long"))).alias("k"), F.col("id").alias("u")).select("pid", "k", "u", ((F.col("u") + 1 + 37 * F.col("k")) % n).alias("v"))
     return pos, neg

@@ -1,8 +1,8 @@
 """Readers and writers of the text formats: baskets, labelled graphs, mined patterns, edge lists, logs, candidates.
 
-Readers take a DataFrame of lines, so that the same parser serves files, tables and literals. lines(): line_no and value
-of a file, numbered within the file. Formats with blocks need the order of lines; a file of blocks is one unit of work,
-many files are read in parallel.
+Readers take a DataFrame of lines, so that the same parser serves files, tables and literals. Formats whose lines stand for
+themselves are read by plain_lines(), in splits. Formats with blocks need the order of lines: lines() numbers them within
+their file; a file of blocks is one unit of work, many files are read in parallel.
 """
 
 from __future__ import annotations
@@ -17,6 +17,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
+def plain_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no, value of files whose lines stand for themselves; line_no ascends within a file, with gaps between splits."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
 def literal_lines(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([("", i, x) for i, x in enumerate(text.split("\n"))], "file string, line_no int, value string")
 
@@ -113,14 +118,59 @@ def write_graphs(nodes: DataFrame, edges: DataFrame, path: str, header: str = "t
     render_graphs(nodes, edges, header).repartitionByRange("gid").sortWithinPartitions("gid").select("value").write.mode("overwrite").text(path)
 
 
-def read_patterns(rows: DataFrame) -> DataFrame:
-    """pid, support of mined patterns: ``# support`` before ``t n``, or ``t # n * support``."""
-    order = Window.partitionBy("file").orderBy("line_no")
-    w = words()
-    last = F.last(F.when(F.col("value").startswith("#"), w[1].try_cast("long")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    heads = rows.where(F.trim("value") != "").withColumn("last", last).where(F.col("value").startswith("t"))
+def write_label_maps(node_codes: DataFrame, edge_codes: DataFrame, path: str) -> None:
+    """(label, code) of nodes and edges -> one line of JSON {"nodes": {label: code}, "edges": {...}}; label sets are catalogues."""
+    as_map = lambda codes, name: codes.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "code")))).alias(name))
+    both = as_map(node_codes, "nodes").crossJoin(as_map(edge_codes, "edges"))  # one row each
+    both.select(F.to_json(F.struct("nodes", "edges")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_label_maps(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, code) of nodes and of edges, from such a line."""
+    maps = rows.where(F.trim("value") != "").select(F.from_json("value", "nodes map<string, long>, edges map<string, long>").alias("m"))
+    one = lambda name: maps.select(F.explode(F.col(f"m.{name}")).alias("label", "code"))
+    return one("nodes"), one("edges")
+
+
+def read_patterns(rows: DataFrame, node_codes: DataFrame | None = None, edge_codes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """pid, support; pid, nid, label; pid, u, v, label of mined patterns: ``# support`` before ``t n``, or ``t # n * support``, and
+    ``v``, ``e`` lines. With (label, code) tables labels are decoded, unknown codes stay."""
+    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.trim("value")
+    w = F.split(value, "\\s+")
+    last = F.last(F.when(value.startswith("#"), F.try_element_at(w, F.lit(2)).try_cast("long")), ignorenulls=True).over(order)
+    pid = F.sum(F.when(value.startswith("t"), 1).otherwise(0)).over(order) - 1
+    marked = rows.where(value != "").withColumn("last", last).withColumn("pid", pid).where("pid >= 0").withColumn("w", w)
     own = F.regexp_extract("value", r"\*\s*([0-9]+)", 1).try_cast("long")
-    return heads.select((F.row_number().over(order) - 1).cast("long").alias("pid"), F.coalesce(own, "last").alias("support"))
+    heads = marked.where(value.startswith("t")).select("pid", F.coalesce(own, "last").alias("support"))
+    vs = marked.where(value.startswith("v")).select("pid", F.col("w")[1].cast("long").alias("nid"), F.col("w")[2].alias("label"))
+    es = marked.where(value.startswith("e")).select("pid", F.col("w")[1].cast("long").alias("u"), F.col("w")[2].cast("long").alias("v"), F.col("w")[3].alias("label"))
+    return heads, decode_labels(vs, node_codes) if node_codes is not None else vs, decode_labels(es, edge_codes) if edge_codes is not None else es
+
+
+def write_patterns(supports: DataFrame, nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """gid, support and the patterns' nodes and edges (gid) -> blocks of ``# support``, ``t gid``, ``v`` and ``e`` lines."""
+    blocks = render_graphs(nodes, edges, "t ").join(supports.select("gid", "support"), "gid")
+    text = F.concat(F.lit("# "), F.col("support").cast("string"), F.lit("\n"), "value")
+    blocks.repartitionByRange("gid").sortWithinPartitions("gid").select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_features(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Selected patterns as ``# gid``, ``v`` and ``e`` lines, in order of gid."""
+    write_graphs(nodes, edges, path, "# ")
+
+
+def write_matrix(bits: DataFrame, features: int, path: str) -> None:
+    """gid, bits -> a Parquet table of gid and row, an array of 0 and 1 per feature."""
+    row = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda f: F.getbit("bits", f).cast("tinyint"))
+    bits.select("gid", row.alias("row")).write.mode("overwrite").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """gid, bits of such a table."""
+    power = F.array(*[F.lit(1 << i).cast("long") for i in range(63)])
+    bits = F.aggregate(F.zip_with("row", F.slice(power, F.lit(1), F.size("row")), lambda one, p: one.cast("long") * p), F.lit(0).cast("long"), lambda a, x: a + x)
+    return spark.read.parquet(path).select("gid", bits.alias("bits"))
 
 
 def decode_labels(rows: DataFrame, codes: DataFrame) -> DataFrame:
@@ -190,3 +240,8 @@ def support_threshold(graphs: Column) -> Column:
     """Least support for an index: 1.5 % above 10,000 graphs, else 4 %, rounded down, at least 1."""
     n = graphs.cast("long")
     return F.greatest(F.lit(1), F.when(n > 10_000, F.floor(n * 15 / 1000)).otherwise(F.floor(n * 4 / 100))).cast("long")
+
+
+def support_of_percent(graphs: Column, percent: Column) -> Column:
+    """Absolute support of a percentage, halves to the even number, as C's %.0f rounds."""
+    return F.bround(graphs.cast("double") * percent / 100, 0).cast("long")
