@@ -49,3 +49,20 @@ def dense(x: Column, weights: list[list[float]], bias: list[float] | None = None
     """W x + b with literal weights (rows are outputs)."""
     bias = bias or [0.0] * len(weights)
     return F.array(*[dot(x, F.array(*map(F.lit, row))) + F.lit(b) for row, b in zip(weights, bias, strict=True)])
+
+
+def batch_norm(x: Column, mean: list[float], variance: list[float], gamma: list[float], beta: list[float], eps: float = 1e-5) -> Column:
+    """In evaluation: each dimension scaled by the running statistics."""
+    scale = [g / (v + eps) ** 0.5 for g, v in zip(gamma, variance, strict=True)]
+    shift = [b - m * s for b, m, s in zip(beta, mean, scale, strict=True)]
+    scaled = F.zip_with(x, F.array(*map(F.lit, scale)), lambda v, s: v * s)
+    return F.zip_with(scaled, F.array(*map(F.lit, shift)), lambda v, b: v + b)
+
+
+def layer_norm(x: Column, gamma: list[float], beta: list[float], eps: float = 1e-5) -> Column:
+    """Each vector scaled by its own mean and (population) variance."""
+    # sums and sums of squares in one pass; bound as an array's one element, so that they are made once
+    both = F.aggregate(x, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")))
+    n = F.size(x)
+    unit = F.get(F.transform(F.array(both), lambda t: F.transform(x, lambda v: (v - t["s"] / n) / F.sqrt(F.greatest(t["q"] / n - (t["s"] / n) * (t["s"] / n), F.lit(0.0)) + eps))), F.lit(0))
+    return F.zip_with(F.zip_with(unit, F.array(*map(F.lit, gamma)), lambda u, g: u * g), F.array(*map(F.lit, beta)), lambda u, b: u + b)

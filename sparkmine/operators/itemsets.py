@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,20 @@ def fp_growth(baskets: DataFrame, support: int) -> DataFrame:
     return model.freqItemsets.select(F.array_sort("items").alias("items"), F.size("items").alias("size"), F.col("freq").alias("support"))
 
 
+def support_sweep(baskets: DataFrame, percents: tuple[int, ...], cap: float = 3600.0) -> list[tuple[int, int, float]]:
+    """(percent, frequent itemsets, seconds) of a miner run per support, highest first; once one takes longer than the cap,
+    lower supports aren't run and count as the cap, with no itemsets."""
+    rows, n = [], baskets.select("txn_id").distinct().count()
+    for percent in sorted(percents, reverse=True):
+        if rows and rows[-1][2] >= cap:
+            rows.append((percent, 0, cap))
+            continue
+        began = time.monotonic()
+        found = fp_growth(baskets, max(1, -(-n * percent // 100))).count()
+        rows.append((percent, found, min(cap, time.monotonic() - began)))
+    return rows
+
+
 def core_items(spark: SparkSession, universe: int, core_fraction: float = 0.1) -> DataFrame:
     """item, core: max(1, int(universe * fraction)) items drawn as core, the rest rare."""
     order = Window.orderBy(uniform("core", F.col("item")), "item")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,10 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmine.functions.hashing import uniform
-from sparkmine.functions.vectors import clip, cosine, dense, dot, finite, relu
+from sparkmine.functions.vectors import clip, cosine, dense, dot, finite, l2_normalize, relu
 from sparkmine.lineage import cut
 
 
+#: Rounds of drawing negatives before the exact search.
+MORE = 4
+
+
 def weights(rows: int, columns: int) -> list[list[float]]:
     """Fixed small weights made by a rule, for forward passes that any engine can repeat."""
     return [[((31 * i + 17 * j) % 13 - 6) / 13 for j in range(columns)] for i in range(rows)]
@@ -166,18 +171,38 @@ def bpr_loss(pos: DataFrame, neg: DataFrame, margin: float = 0.5) -> DataFrame:
 
 
 def negative_edges(pos: DataFrame, links: DataFrame, nodes: int, attempts: int = 8) -> DataFrame:
-    """pid, u, v: for each positive a hash-drawn v that is neither u nor linked to it either way; the first attempt that fits."""
-    tries = pos.select("pid", "u", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("t"))
-    drawn = tries.withColumn("v", F.floor(uniform("neg", F.col("pid"), F.col("t")) * nodes)).where("u <> v")
-    known = symmetrized(links).select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
-    free = drawn.join(known, ["u", "v"], "left_anti")
-    return free.groupBy("pid", "u").agg(F.min_by("v", "t").alias("v"))
-
-
-def singular_values(nodes: DataFrame, width: int, most: int) -> list[tuple[int, float]]:
-    """The greatest singular values of x, uncentred, from its Gram matrix; each task sends one matrix of bounded width."""
-
-    def gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """pid, u, v: for each positive a hash-drawn v that is neither u nor linked to it either way; the first attempt that fits.
+
+    Positives whose attempts all fail get as many more, and after MORE rounds the least v that fits, by an exact search; one
+    whose u is linked to every node has a null v.
+    """
+    known = cut(symmetrized(links).select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
+    open_, found, first = pos.select("pid", "u"), [], 0
+    for _ in range(MORE):
+        tries = open_.withColumn("t", F.explode(F.sequence(F.lit(first), F.lit(first + attempts - 1))))
+        drawn = tries.withColumn("v", F.floor(uniform("neg", F.col("pid"), F.col("t")) * nodes)).where("u <> v")
+        found.append(cut(drawn.join(known, ["u", "v"], "left_anti").groupBy("pid", "u").agg(F.min_by("v", "t").alias("v"))))
+        open_ = cut(open_.join(found[-1], ["pid", "u"], "left_anti"))
+        first += attempts
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+    taken = known.join(open_.select("u").distinct(), "u", "left_semi").groupBy("u").agg(F.collect_set("v").alias("taken"))
+    # the least free number is at most as large as there are taken ones, itself included
+    free = F.filter(F.sequence(F.lit(0).cast("long"), F.size("taken").cast("long") + 1), lambda v: (v < nodes) & (v != F.col("u")) & ~F.array_contains("taken", v))
+    last = open_.join(taken, "u").select("pid", "u", F.get(free, F.lit(0)).alias("v"))
+    return reduce(DataFrame.unionByName, [*found, last])
+
+
+def pair_scores(pairs: DataFrame, nodes: DataFrame, degree: DataFrame, hidden: list[list[float]], out: list[float]) -> DataFrame:
+    """The columns of pairs and score: a ReLU layer and a linear one over the pair features."""
+    found = pair_features(pairs, nodes, degree)
+    return found.select(*pairs.columns, dot(relu(dense(F.col("f"), hidden)), F.array(*map(F.lit, out))).alias("score"))
+
+
+def gram(nodes: DataFrame, width: int) -> np.ndarray:
+    """The Gram matrix of x, uncentred; each task sends one matrix of bounded width."""
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = np.zeros((width, width))
         for pdf in frames:
             if len(pdf):
@@ -185,9 +210,26 @@ def singular_values(nodes: DataFrame, width: int, most: int) -> list[tuple[int,
                 g += x.T @ x
         yield pd.DataFrame({"i": np.arange(width), "g": list(g)})
 
-    rows = nodes.select("x").mapInPandas(gram, "i int, g array<double>").groupBy("i").agg(F.array(*[F.sum(F.element_at("g", j + 1)) for j in range(width)]).alias("g"))
+    rows = nodes.select("x").mapInPandas(part, "i int, g array<double>").groupBy("i").agg(F.array(*[F.sum(F.element_at("g", j + 1)) for j in range(width)]).alias("g"))
     whole = np.zeros((width, width))
     for r in rows.collect():  # as many rows as the vectors are wide
         whole[r["i"]] = r["g"]
-    values = np.sqrt(np.maximum(np.linalg.eigvalsh(whole)[::-1], 0))
-    return [(k, float(v)) for k, v in enumerate(values[:most])]
+    return whole
+
+
+def singular_vectors(nodes: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest singular values of x, and their right vectors (columns), each with its largest entry positive."""
+    values, vectors = np.linalg.eigh(gram(nodes, width))
+    values, vectors = np.sqrt(np.maximum(values[::-1][:most], 0)), vectors[:, ::-1][:, :most]
+    signs = np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
+    return values, vectors * np.where(signs == 0, 1, signs)
+
+
+def singular_values(nodes: DataFrame, width: int, most: int) -> list[tuple[int, float]]:
+    return [(k, float(v)) for k, v in enumerate(singular_vectors(nodes, width, most)[0])]
+
+
+def reduced(nodes: DataFrame, width: int, most: int) -> DataFrame:
+    """id, x: projected on the greatest right singular vectors and scaled to length one."""
+    vectors = singular_vectors(nodes, width, most)[1]
+    return nodes.select("id", l2_normalize(dense(F.col("x"), vectors.T.tolist())).alias("x"))

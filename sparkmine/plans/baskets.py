@@ -16,6 +16,15 @@ s3 as (select a.item || ',' || b.item || ',' || c.item as items, 3 as size, coun
 select items, size, support from (select * from s1 union all select * from s2 union all select * from s3), need where support >= m"""
 
 
+#: Sets of any size: each grows by a larger item while it is frequent; supports are counted over whole baskets.
+_EVERY = f"""with recursive {BASKETS_SQL}, {_MIN},
+common as (select item, count(*) as support from basket group by item having count(*) >= (select m from need)),
+kept as (select txn_id, item from basket semi join common using (item)),
+grown as (select txn_id, item as last, item as items, 1 as size from kept
+union all select k.txn_id, k.item, g.items || ',' || k.item, g.size + 1 from grown g join kept k on k.txn_id = g.txn_id and k.item > g.last where g.size < 13)
+select items, size, count(*) as support from grown group by 1, 2 having count(*) >= (select m from need)"""
+
+
 @query("basket_item_support", f"with {BASKETS_SQL} select item, count(*) as support from basket group by item")
 def item_support(spark, sf_dir):
     return itemsets.item_support(baskets(spark, sf_dir))
@@ -37,10 +46,10 @@ def frequent_itemsets(spark, sf_dir):
     return _named(itemsets.apriori(rows, itemsets.least_support(rows, FRACTION), 3))
 
 
-@query("fpgrowth_itemsets", _THREE)
+@query("fpgrowth_itemsets", _EVERY)
 def fp_growth(spark, sf_dir):
     rows = baskets(spark, sf_dir)
-    return _named(itemsets.fp_growth(rows, itemsets.least_support(rows, FRACTION)).where("size <= 3"))
+    return _named(itemsets.fp_growth(rows, itemsets.least_support(rows, FRACTION)))
 
 
 UNIVERSE, TRANSACTIONS = 60, 400
@@ -62,3 +71,13 @@ select txn_id, string_agg(cast(item as varchar), ' ' order by md5('order:' || tx
 )
 def synthetic(spark, sf_dir):
     return itemsets.synthetic_baskets(spark, UNIVERSE, TRANSACTIONS)
+
+
+PERCENTS = (90, 50, 25, 10, 5)
+
+
+@query("support_sweep", f"with recursive {BASKETS_SQL}, total as (select count(distinct txn_id) as n from basket), pct as (select unnest([{', '.join(map(str, PERCENTS))}]) as percent), common as (select item from basket group by item having count(*) * 100 >= 5 * (select n from total)), kept as (select txn_id, item from basket semi join common using (item)), grown as (select txn_id, item as last, item as items, 1 as size from kept union all select k.txn_id, k.item, g.items || ',' || k.item, g.size + 1 from grown g join kept k on k.txn_id = g.txn_id and k.item > g.last where g.size < 13), sup as (select items, count(*) as c from grown group by 1) select cast(percent as int) as percent, count(items) as itemsets from pct cross join total left join sup on c * 100 >= percent * n group by 1")
+def support_sweep(spark, sf_dir):
+    """How many itemsets are frequent at each support of the protocol."""
+    rows = [(p, n) for p, n, _ in itemsets.support_sweep(baskets(spark, sf_dir).cache(), PERCENTS)]
+    return spark.createDataFrame(rows, "percent int, itemsets long")

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from sparkmine.functions.hashing import uniform_sql
-from sparkmine.functions.vectors import l2_normalize, softmax
+from sparkmine.functions.vectors import batch_norm, l2_normalize, layer_norm, softmax
 from sparkmine.operators import layers, metrics
 from sparkmine.plans.registry import query
-from sparkmine.sources.tables import ATTRIBUTED_SQL, LINKS_SQL, link_pairs, links, split, table, vectors
+from sparkmine.sources import datasets
+from sparkmine.sources.tables import ATTRIBUTED_SQL, LINKS_SQL, VECTORS_SQL, link_pairs, links, split, table, vectors
 
 WIDTH, CLASSES, OUT = 64, 10, 4
 ALPHA = 0.45
@@ -252,19 +253,19 @@ def bpr(spark, sf_dir):
 
 @query(
     "pair_features",
-    f"""with {LINKS_SQL}, deg as (select id, ln(1 + 3e0) as d from vec), f as (select pid, list_concat(list_concat(a.x[1:4], b.x[1:4]), list_concat(list_concat(list_transform(range(1, 5), lambda i: a.x[i] * b.x[i]), list_transform(range(1, 5), lambda i: abs(a.x[i] - b.x[i]))), [p.d, q.d])) as f
+    f"""with {LINKS_SQL}, deg as (select id, ln(1 + 3e0) as d from vec), f as (select pid, list_concat(list_concat(a.x, b.x), list_concat(list_concat(list_transform(range(1, 65), lambda i: a.x[i] * b.x[i]), list_transform(range(1, 65), lambda i: abs(a.x[i] - b.x[i]))), [p.d, q.d])) as f
 from pos join vec a on a.id = u join vec b on b.id = v join deg p on p.id = u join deg q on q.id = v)
-select pid, cast(i - 1 as int) as dim, round(f[i], 6) as x from f, (select unnest(range(1, 19)) as i) t""",
+select pid, cast(i - 1 as int) as dim, round(f[i], 6) + 0e0 as x from f, (select unnest(range(1, 259)) as i) t""",
 )
 def pair_features(spark, sf_dir):
     nodes, es = _nodes(spark, sf_dir)
-    found = layers.pair_features(link_pairs(nodes)[0], nodes.select("id", F.slice("x", 1, 4).alias("x")), layers.degrees(nodes, es))
+    found = layers.pair_features(link_pairs(nodes)[0], nodes.select("id", "x"), layers.degrees(nodes, es))
     return _long(found.select(F.col("pid").alias("id"), "f"), "f").withColumnRenamed("id", "pid")
 
 
 @query(
     "negative_edges",
-    f"""with {ATTRIBUTED_SQL}, {_SYM}, t as (select id as pid, id as u, t, cast(floor({uniform_sql("'neg'", 'id', 't')} * n) as bigint) as v from vec, total, (select unnest(range(8)) as t) a where id % 10 = 0)
+    f"""with {ATTRIBUTED_SQL}, {_SYM}, t as (select id as pid, id as u, t, cast(floor({uniform_sql("'neg'", 'id', 't')} * n) as bigint) as v from vec, total, (select unnest(range(8)) as t) a)
 select pid, u, arg_min(v, t) as v from t where u <> v and not exists (select 1 from sym where src = u and dst = v) group by 1, 2""",
 )
 def negative_edges(spark, sf_dir):
@@ -287,3 +288,72 @@ def mlp_train(spark, sf_dir):
     rows = vectors(spark, sf_dir).select("id", array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"))
     model = MultilayerPerceptronClassifier(layers=[WIDTH, 16, CLASSES], maxIter=30, seed=42).fit(rows.where("id % 10 < 6"))
     return metrics.accuracy(model.transform(rows.where("id % 10 >= 6")).select(F.col("prediction").alias("p"), F.col("label").alias("y")))
+
+
+# ---- normalisation, pair scores, training rows, batches, fallbacks ---------------------------------------------------
+
+_MEAN, _VAR = [(i % 7 - 3) / 10 for i in range(WIDTH)], [1 + (i % 5) / 10 for i in range(WIDTH)]
+_GAMMA, _BETA = [1 + (i % 3) / 10 for i in range(WIDTH)], [(i % 4) / 10 for i in range(WIDTH)]
+_PARAMS = "par as (select i, ((i - 1) % 7 - 3) / 10e0 as mean, 1 + ((i - 1) % 5) / 10e0 as variance, 1 + ((i - 1) % 3) / 10e0 as gamma, ((i - 1) % 4) / 10e0 as beta from " + _DIM + ")"
+
+
+@query("batch_norm", f"with {ATTRIBUTED_SQL}, {_PARAMS} select id, cast(i - 1 as int) as dim, round((x[i] - mean) / sqrt(variance + 1e-5) * gamma + beta, 6) as x from vec, par")
+def batch_normalized(spark, sf_dir):
+    return _long(vectors(spark, sf_dir).select("id", batch_norm(F.col("x"), _MEAN, _VAR, _GAMMA, _BETA).alias("x")))
+
+
+@query("layer_norm", f"with {ATTRIBUTED_SQL}, {_PARAMS}, s as (select id, avg(x[i]) as m, var_pop(x[i]) as v from vec, {_DIM} group by 1) select vec.id, cast(i - 1 as int) as dim, round((x[i] - m) / sqrt(v + 1e-5) * gamma + beta, 6) as x from vec join s on s.id = vec.id, par")
+def layer_normalized(spark, sf_dir):
+    return _long(vectors(spark, sf_dir).select("id", layer_norm(F.col("x"), _GAMMA, _BETA).alias("x")))
+
+
+_PAIRS = f"""deg as (select id, ln(1 + 3e0) as d from vec), f as (select pid as id, list_concat(list_concat(a.x, b.x), list_concat(list_concat(list_transform(range(1, 65), lambda i: a.x[i] * b.x[i]), list_transform(range(1, 65), lambda i: abs(a.x[i] - b.x[i]))), [p.d, q.d])) as x
+from pos join vec a on a.id = u join vec b on b.id = v join deg p on p.id = u join deg q on q.id = v)"""
+
+
+@query("pair_mlp_score", f"with {LINKS_SQL}, {_PAIRS}, {_z('z', 'f', 258, 8)} select id as pid, round(sum(greatest(z, 0) * ((17 * o) % 13 - 6) / 13e0), 6) as score from z group by 1")
+def pair_mlp_score(spark, sf_dir):
+    nodes, es = _nodes(spark, sf_dir)
+    found = layers.pair_scores(link_pairs(nodes)[0], nodes.select("id", "x"), layers.degrees(nodes, es), layers.weights(8, 258), layers.weights(1, 8)[0])
+    return found.select("pid", F.round("score", 6).alias("score"))
+
+
+@query("training_rows", f"with {LINKS_SQL}, r as (select u, v, 1e0 as label from pos union all select u, v, 0e0 from neg) select label, count(*) as n, cast(sum(u) as bigint) as us, cast(sum(v) as bigint) as vs from r group by 1")
+def training_rows(spark, sf_dir):
+    rows = datasets.training_rows(*link_pairs(vectors(spark, sf_dir)))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("u").alias("us"), F.sum("v").alias("vs"))
+
+
+@query("minibatch_sizes", f"with {VECTORS_SQL}, total as (select cast(ceil(count(*) / 64e0) as bigint) as b from vec) select cast(floor({uniform_sql(chr(39) + 'batch' + chr(39), '0', 'id')} * b) as int) as batch, count(*) as n from vec, total group by 1")
+def minibatch_sizes(spark, sf_dir):
+    return datasets.minibatches(vectors(spark, sf_dir), ["id"], 64).groupBy("batch").agg(F.count("*").alias("n"))
+
+
+@query("random_classes", f"with {VECTORS_SQL} select id, cast(floor({uniform_sql(chr(39) + 'random' + chr(39), '0', 'id')} * {CLASSES}) as bigint) as y_pred from vec")
+def random_classes(spark, sf_dir):
+    return datasets.random_predictions("A", vectors(spark, sf_dir), CLASSES)
+
+
+@query("ema_per_user", "with o as (select user_id, list(value order by ts, event_id) as v from events where value is not null group by 1) select user_id, round(list_reduce(v, lambda a, x: x * 0.5e0 + a * 0.5e0), 6) as ema from o")
+def ema_per_user(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("value is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
+    return rows.select("user_id", F.round(metrics.ema(F.transform("v", lambda x: x["value"])), 6).alias("ema"))
+
+
+@query("running_loss", "select event_id, floor(avg(value) over (partition by user_id order by ts, event_id rows unbounded preceding) * 1e4 + 0.50001e0) / 1e4 as mean, floor(avg(value) over (partition by user_id order by ts, event_id rows between 19 preceding and current row) * 1e4 + 0.50001e0) / 1e4 as recent from events")
+def running_loss(spark, sf_dir):
+    rows = metrics.running_mean(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+    four = lambda c: (F.floor(F.col(c) * 1e4 + 0.50001) / 1e4).alias(c)  # noqa: E731 (halves go up on any engine)
+    return rows.select("event_id", four("mean"), four("recent"))
+
+
+@query("dataset_stats", f"with {ATTRIBUTED_SQL} select (select count(*) from vec) as nodes, (select max(len(x)) from vec) as features, (select count(*) from link) as edges, count(*) filter (where split = 'train') as train, count(*) filter (where split = 'val') as valid, count(*) filter (where split = 'test') as test, count(distinct y) as classes from vec join split using (id)")
+def dataset_stats(spark, sf_dir):
+    nodes, es = _nodes(spark, sf_dir)
+    name = F.replace(split(), F.lit("val"), F.lit("valid"))
+    return datasets.NodeDataset(nodes, es, nodes.select("id", "y", name.alias("split"))).stats().withColumn("features", F.col("features").cast("long"))
+
+
+@query("reduced_vectors")
+def reduced_vectors(spark, sf_dir):
+    return _long(layers.reduced(vectors(spark, sf_dir), WIDTH, 16))

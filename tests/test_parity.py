@@ -9,8 +9,6 @@ from sparkmine.catalog import ORACLE, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
-#: Those that share their plans with others here; the driver's comparison runs them all.
-SLOW = {"kmeans_sse_sweep", "kmeans_elbow", "fsm_paths2", "fsm_triangles", "feature_variance", "feature_jaccard", "candidate_stats", "block_gain_top1"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +24,7 @@ def shaped(rows, columns):
     return sorted(tuple(f"{r[i]:.6f}" if isinstance(r[i], float) else str(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", [n for n in ORACLE if n not in SLOW])
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_same_rows(spark, duck, name):
     df = QUERIES[name](spark, DIR)
     found = duck.execute(ORACLE[name])
