@@ -419,17 +419,6 @@ def test_held_out_accuracy(sample):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
 
 
-def test_folded_model_equals_kernel_form(sample):
-    texts = [r["text"] for r in sample.limit(6).collect()]
-    model = langid.fit(texts, ["x", "y"] * 3, landmarks=6)
-    buffer = np.zeros(1 << langid.HASH_BITS, bool)
-    sets = [set(langid.presences(t, buffer).tolist()) for t in texts]
-    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
-    names, _ = langid.predict(texts, model, buffer)
-    assert names == ["x", "y"] * 3  # landmarks are the data: nearly interpolated
-    assert np.linalg.matrix_rank(kernel) >= 5
-
-
 def test_language_hostile(hostile, empty):
     model = langid.fit(*langid.labelled_sample(hostile))
     got = {r["doc_id"]: r for r in langid.identify(hostile, model).collect()}
