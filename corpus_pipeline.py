@@ -26,23 +26,32 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null, empty and letterless texts go; with nothing labelled everything goes. Repeated rows and extra columns stay, an
+    empty table gives an empty one. A null id isn't learned from but is judged like any other."""
     texts, langs = langid.labelled_sample(docs)
     return langid.keep_known(docs, langid.fit(texts, langs), langid.least_score(texts, langs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts are one group, repeated rows another each; of ties in the id one row stays, and a null id is the
+    greatest. Extra columns stay, whatever their names; an empty table gives an empty one."""
     return simhash.one_of_each_similar(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays; a null text stays null with a null n_chars. Long texts are scanned whole; extra columns stay."""
     return secrets.redact(docs, secrets.shipped(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null source is a source of its own; null and empty texts have no words and go. Rows equal in id, text and source are
+    repeated equally often. Extra columns stay; an empty table gives an empty one."""
     return mixing.repeated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts are their end id; repeated rows and null ids are documents of their own. Extra columns are ignored;
+    an empty table gives no pieces."""
     return packing.pack_documents(docs, TOKENIZER, store=STORE)
 
 
@@ -53,7 +62,8 @@ STAGES = [
     ("mix_sources", mix_sources),
     ("pack", pack),
 ]
-#: Models, fingerprints and token ids: SQL can't express the rows of run(); tests hold it against a brute-force version.
+#: Models, fingerprints and token ids: SQL can't express the rows of run(); tests/llm/test_pipeline.py holds each stage
+#: against a brute-force version.
 ORACLE_SQL = None
 
 
