@@ -49,8 +49,17 @@ def bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes that a shuffle partition holds about, and partitions at most.
+PARTITION_BYTES, MOST_PARTITIONS = 128 << 20, 100_000
+
+
+def partitions(df: DataFrame, scale: int = 1) -> int:
+    """The session's number of shuffle partitions, or more where the tables that df reads, times scale, are larger than
+    PARTITION_BYTES for each of them. Tables of unknown size don't count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = scale * sum(x for x in sizes if x < 1 << 60)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PARTITION_BYTES), MOST_PARTITIONS))
 
 
 def range_bounds(df: DataFrame, column: str, shards: int) -> list[int]:

@@ -91,7 +91,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = docs.agg(F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
     least = None if first["nulls"] else first["least"]
-    bounds = [b for b in range_bounds(docs, "doc_id", partitions(docs.sparkSession)) if least is None or b > least]
+    bounds = [b for b in range_bounds(docs, "doc_id", partitions(docs)) if least is None or b > least]
     n = len(bounds) + 1
     starts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else None
     shard = range_shard(F.col("doc_id"), bounds)

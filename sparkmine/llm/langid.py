@@ -83,7 +83,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     values, vectors = np.linalg.eigh((base @ base.T).astype(float))
     good = values > 1e-8 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # K_mm^(-1/2), as far as it has full rank
-    feats = np.concatenate([dense([p for p, _ in pairs[i : i + 256]]) @ base.T for i in range(0, len(pairs), 256)]).astype(float) @ root
+    feats = np.concatenate([dense([p for p, _ in pairs[i : i + 32]]) @ base.T for i in range(0, len(pairs), 32)]).astype(float) @ root
     truth = np.where(np.array([[lang == x for x in names] for _, lang in pairs]), 1.0, -1.0)
     share = np.array([[lang == x for x in names] for _, lang in pairs]).mean(0)
     weight = 1 / share[[names.index(lang) for _, lang in pairs]]  # languages count alike

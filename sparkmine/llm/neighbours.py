@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkmine.lineage import drop
 from sparkmine.llm.common import partitions, written
 
 #: Neighbours kept per node, reverse neighbours joined per node, random blocks to start from, most rounds, and the share of changed edges that ends them.
@@ -32,6 +33,9 @@ DEGREE, REVERSE, START_BLOCK, STARTS, ROUNDS, SETTLED = 40, 40, 256, 2, 8, 0.01
 #: Search: nodes known at once, opened per round, rounds, and nodes compared exactly at the end. Nodes of a block.
 BEAM, OPENED, STEPS, FINAL, BLOCK = 224, 32, 5, 24, 1024
 
+#: A round's codes are so many times as large as the table of nodes, about.
+MEETINGS = 10
+
 GRAPH = "node long, ids binary, sims binary, fresh binary"
 
 
@@ -146,15 +150,15 @@ def start_graph(nodes: DataFrame, count: int, degree: int = DEGREE) -> DataFrame
     return dealt.groupBy("start", "block").applyInPandas(within, "u long, w long, s float, old boolean")
 
 
-def merge_edges(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
-    """GRAPH from rows (u, w, s, old)."""
+def merge_edges(edges: DataFrame, degree: int, parts: int) -> DataFrame:
+    """GRAPH from rows (u, w, s, old), in so many partitions."""
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(frames, "u"):
             if len(pdf):
                 yield _packed(*closest(*(pdf[c].to_numpy() for c in ("u", "w", "s", "old")), degree))
 
-    return edges.repartition(partitions(edges.sparkSession), "u").sortWithinPartitions("u").mapInPandas(merge, GRAPH)
+    return edges.repartition(parts, "u").sortWithinPartitions("u").mapInPandas(merge, GRAPH)
 
 
 def edge_rows(graph: DataFrame) -> DataFrame:
@@ -186,6 +190,7 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int = DEGREE) -> DataFra
             sims = [np.frombuffer(b, "<f4") for b in pdf["sims"]]
             yield pd.DataFrame({"m": pdf["node"], "least": [float(s[-1]) if len(s) >= degree else -9.0 for s in sims]})
 
+    parts = partitions(nodes, MEETINGS)
     about = nodes.select(F.col("node").alias("member"), "code").join(worst.mapInPandas(bounds, "m long, least float"), F.col("member") == F.col("m"), "left").select("member", "code", F.coalesce("least", F.lit(-9.0).cast("float")).alias("least"))
     met = both_ways(graph).join(about, "member")
 
@@ -207,14 +212,15 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int = DEGREE) -> DataFra
                 u, w, s, _ = closest(u, w, s, np.zeros(len(u), bool), degree)  # of this batch; a smaller shuffle
                 yield pd.DataFrame({"u": u, "w": w, "s": s, "old": False})
 
-    found = met.repartition(partitions(graph.sparkSession), "v").sortWithinPartitions("v").mapInPandas(introduce, "u long, w long, s float, old boolean")
-    return merge_edges(edge_rows(graph).select("u", "w", "s", F.lit(True).alias("old")).unionByName(found), degree)
+    found = met.repartition(parts, "v").sortWithinPartitions("v").mapInPandas(introduce, "u long, w long, s float, old boolean")
+    return merge_edges(edge_rows(graph).select("u", "w", "s", F.lit(True).alias("old")).unionByName(found), degree, parts)
 
 
 def build(nodes: DataFrame, count: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    graph = written(merge_edges(start_graph(nodes, count, degree), degree))
+    graph = written(merge_edges(start_graph(nodes, count, degree), degree, partitions(nodes, MEETINGS)))
     for _ in range(rounds if count > START_BLOCK else 0):
-        graph = written(descend(graph, nodes, degree))
+        before, graph = graph, written(descend(graph, nodes, degree))
+        drop(before)
         changed = edge_rows(graph).agg(F.avg(F.col("fresh").cast("double")).alias("x")).first()["x"]
         if (changed or 0) < SETTLED:
             break
@@ -280,7 +286,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, count: int, b
         asked = asked.groupBy("block", "q").agg(F.collect_set("w").alias("wanted")).join(state.select("q", "code"), "q")
         met = asked.groupBy("block").cogroup(where.groupBy("block")).applyInPandas(compare, "q long, ids binary, sims binary, compared long")
         both = state.unionByName(met.select("q", F.lit(None).cast("binary").alias("code"), "ids", "sims", F.lit(None).cast("binary").alias("done"), "compared"))
-        state = written(both.repartition(partitions(nodes.sparkSession), "q").sortWithinPartitions("q").mapInPandas(renew, beams))
+        state = written(both.repartition(partitions(nodes), "q").sortWithinPartitions("q").mapInPandas(renew, beams))
     return state.select("q", "ids", "sims", "compared")
 
 

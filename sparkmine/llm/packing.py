@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkmine.llm.common import bounded, partitions, written
+from sparkmine.llm.common import bounded, written
 from sparkmine.llm.encode import KEPT, batches, encoder
 
 WINDOW = 2048

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmine.llm.common import table
+from sparkmine.llm.common import table, written
 
 TREES, LEVELS, SEED = 24, 7, 42
 #: Rows of the labelled table that query and pipeline train from; the forest's threshold to call a candidate a secret.
@@ -50,7 +50,7 @@ _OWN = rf"{_T}[\w\]\"')-]*(?:=>|:=|[=:])[\"']?[^\"'=:\s]"
 _LEFT = rf"{_T}[\w\]\"')-]*\s*(?:[\w\]\"')-]*\s*)?{ASSIGNED}[\"']?$"
 
 FEATURES = (
-    "length", "digits", "upper", "lower", "vowels", "changes", "alternates", "distinct", "hex", "repeat", "symbols", "covered", "slashes", "dashes", "path", "extension", "issued", "numeric", "stand_in",
+    "length", "digits", "upper", "lower", "vowels", "changes", "alternates", "distinct", "hex", "repeat", "symbols", "covered", "slashes", "dashes", "path", "extension", "code", "issued", "numeric", "stand_in",
     "telling", "benign", "assigned", "quoted", "benign_after", "word_after",
 )
 
@@ -109,6 +109,8 @@ def features(token: Column, before: Column, after: Column, words: list[str]) ->
         "dashes": _share(token, "[-_]"),
         "path": flag(token.rlike(r"^[./~]*/|://") | before.rlike(r"(://|/)\S*$")),
         "extension": flag(token.rlike(r"\.[a-z]{2,4}$") | after.rlike(r"^\.[a-z]{2,4}\b")),
+        # a call, an index, or names joined by dots
+        "code": flag(token.rlike(r"[(\[][^()\[\]]*[)\]]$|^[A-Za-z_]+(\.[A-Za-z_]+)+$|[()]$")),
         "issued": flag(token.rlike(ISSUED)),
         "numeric": flag(token.rlike("^[0-9+/_.,:-]+$")),
         "stand_in": flag(token.rlike(STAND_IN)),
@@ -126,23 +128,33 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, words: list[str
     """token, before, after, secret: a table of labelled findings made by rule from md5 digits; half are secrets."""
     words = words or dictionary()
     i = F.col("id")
-    h = F.concat(*[F.md5(F.concat(i.cast("string"), F.lit(f"/{k}"))) for k in range(3)])
     number = lambda k, n: (F.conv(F.substring(F.md5(F.concat(i.cast("string"), F.lit(f":{k}"))), 1, 8), 16, 10).cast("long") % n + 1).cast("int")
     pick = lambda k, *of: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in of]), number(k, len(of)))
     upto = lambda k, a, b: number(k, b - a + 1) + a - 1
+    word = lambda k: F.col(f"w_{k}")
+    cut = lambda c, k, a, b: c.substr(F.lit(1), upto(k, a, b))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    byte = lambda alphabet: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda j: F.lit(alphabet).substr((F.conv(F.col("h").substr(j * 2 + 1, F.lit(2)), 16, 10).cast("int") % len(alphabet) + 1).cast("int"), F.lit(1))), "")
+    # the draws are a table of their own, so that the plans of what is made of them stay small
     some = words[:500]
     listed = F.split(F.lit(" ".join(some)), " ")
-    word = lambda k: F.element_at(listed, number(k, len(some)))
-    byte = lambda alphabet: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda j: F.lit(alphabet).substr((F.conv(h.substr(j * 2 + 1, F.lit(2)), 16, 10).cast("int") % len(alphabet) + 1).cast("int"), F.lit(1))), "")
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    mixed, capital, small, marks = byte(letters + "0123456789"), byte(letters[:26] + "234567"), byte(letters[26:] + "0123456789"), byte("!?#$%&*@^")
-    cut = lambda c, k, a, b: c.substr(F.lit(1), upto(k, a, b))
-    digits = F.translate(h, "abcdef", "012345")
-    name = pick("n", "password", "Password", "DB_PASSWORD", "passwd", "pwd", "secret", "client_secret", "token", "auth_token", "api_key", "API-KEY", "access_key", "private_key", "passphrase", "credentials", "PASS")
-    telling = F.concat(name, pick("a", "=", ": ", "=\"", " = \"", ": '", " is ", "=", ": "))
-    benign = pick("b", "commit ", "the uuid ", "sha256 ", "see ref ", "order ", "invoice ", "checksum: ", "revision ", "version=", "etag: \"", "isbn: ")
-    plain = pick("p", "and the ", "of this ", "was. ", "en ", "die ", "de la ", "", "in ", "https://site.org/", "see ", "id=", "name: ")
-    cased = F.concat(F.upper(F.substring(word("x"), 1, 1)), F.substring(word("x"), 2, 20))
+    hashed = spark.range(rows).withColumn("h", F.concat(*[F.md5(F.concat(i.cast("string"), F.lit(f"/{k}"))) for k in range(3)]))
+    drawn = hashed.select(
+        "id",
+        "h",
+        byte(letters + "0123456789").alias("mixed"),
+        byte(letters[:26] + "234567").alias("capital"),
+        byte(letters[26:] + "0123456789").alias("small"),
+        byte("!?#$%&*@^").alias("marks"),
+        F.translate("h", "abcdef", "012345").alias("digits"),
+        *[F.element_at(listed, number(k, len(some))).alias(f"w_{k}") for k in ("x", "y", "z", "f1", "f2")],
+        pick("n", "password", "Password", "DB_PASSWORD", "passwd", "pwd", "secret", "client_secret", "token", "auth_token", "api_key", "API-KEY", "access_key", "private_key", "passphrase", "credentials", "PASS").alias("name"),
+        pick("b", "commit ", "the uuid ", "sha256 ", "see ref ", "order ", "invoice ", "checksum: ", "revision ", "version=", "etag: \"", "isbn: ").alias("benign"),
+        pick("p", "and the ", "of this ", "was. ", "en ", "die ", "de la ", "", "in ", "https://site.org/", "see ", "id=", "name: ").alias("plain"),
+        pick("a", "=", ": ", "=\"", " = \"", ": '", " is ", "=", ": ").alias("assigns"),
+    )
+    drawn = written(drawn.withColumn("telling", F.concat("name", "assigns")).withColumn("cased", F.concat(F.upper(F.substring("w_x", 1, 1)), F.substring("w_x", 2, 20))))
+    h, mixed, capital, small, marks, digits, name, benign, plain, telling, cased = map(F.col, ("h", "mixed", "capital", "small", "marks", "digits", "name", "benign", "plain", "telling", "cased"))
     leet = F.translate(cased, "aeio", "4310")
     secret = pick(
         "s",
@@ -154,27 +166,32 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, words: list[str
         F.struct(F.concat(leet, marks.substr(1, 1), digits.substr(F.lit(1), upto("u", 1, 4))).alias("token"), telling.alias("before")),
         F.struct(F.concat(cased, digits.substr(F.lit(1), upto("u", 2, 4)), marks.substr(F.lit(1), upto("v", 0, 2))).alias("token"), telling.alias("before")),
         F.struct(F.concat(word("x"), digits.substr(F.lit(1), upto("u", 1, 4)), pick("g", word("y"), F.lit(""))).alias("token"), telling.alias("before")),
-        F.struct(F.concat(word("x"), pick("g", "-", "-", "_", "."), word("y"), pick("g", "-", "-", "_", "."), word("z"), pick("e", F.lit(""), digits.substr(1, 2))).alias("token"), F.concat(name, pick("a", "=", "=\"", ": \"")).alias("before")),
+        F.struct(F.concat(word("x"), pick("g", "-", "-", "_"), word("y"), pick("g", "-", "-", "_"), word("z"), pick("e", F.lit(""), F.lit(""), digits.substr(1, 2))).alias("token"), F.concat(name, pick("a", "=", "=\"", ": \"")).alias("before")),
         F.struct(F.concat(cut(small, "u", 4, 8), marks.substr(1, 1), small.substr(20, 4)).alias("token"), telling.alias("before")),
+        F.struct(F.concat_ws("-", word("x"), word("y"), word("z"), word("f1")).alias("token"), F.concat(name, pick("a", "=", "=\"", ": \"")).alias("before")),
     )
     other = pick(
         "o",
         F.struct(cut(h, "u", 20, 64).alias("token"), benign.alias("before")),
+        F.struct(F.concat(capital.substr(1, 2), digits.substr(F.lit(1), upto("u", 10, 20)), pick("e", "", "-")).alias("token"), pick("c", benign, benign, plain).alias("before")),
+        F.struct(F.upper(cut(pick("d", h, mixed), "u", 16, 24)).alias("token"), benign.alias("before")),
         F.struct(F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12)).alias("token"), pick("c", benign, plain).alias("before")),
         F.struct(F.concat(word("x"), pick("g", "-", "_", "/", ""), word("y"), pick("e", "-", "_", "/"), word("z"), digits.substr(F.lit(1), upto("u", 1, 4))).alias("token"), plain.alias("before")),
         F.struct(F.concat(F.upper(word("x")), F.upper(word("y")), F.upper(word("z")), digits.substr(F.lit(1), upto("u", 0, 2))).alias("token"), plain.alias("before")),
         F.struct(cut(digits, "u", 16, 24).alias("token"), pick("c", plain, benign).alias("before")),
         F.struct(F.concat(F.lit("/usr/lib/"), word("x"), F.lit("/v"), digits.substr(1, 1), F.lit("/"), word("y")).alias("token"), pick("c", plain, plain, telling).alias("before")),
         F.struct(F.concat(pick("q", "xxxxxxxxxxxxxxxx", "your_password_here_", "REPLACE_ME_WITH_KEY_", "example_token_value_", "0000000000000000", "<password>", "${TOKEN}", "********", "none", "null"), pick("e", "1", "", "")).alias("token"), telling.alias("before")),
+        F.struct(F.concat(pick("q", "your", "change", "replace", "insert", "example", "sample"), pick("e", "_", "-", ""), pick("g", "password", "token", "secret", "me", "key"), pick("d", "_here", "-here", "", "_1", "-now")).alias("token"), telling.alias("before")),
         F.struct(word("x").alias("token"), F.concat(name, pick("a", " is ", ": ", " was ", ": ", " = ")).alias("before")),
         F.struct(pick("q", word("x"), F.lit("required"), F.lit("true"), F.lit("false"), F.lit("the"), F.lit("not"), F.lit("a"), F.lit("empty"), digits.substr(1, 1), digits.substr(1, 2)).alias("token"), telling.alias("before")),
-        F.struct(F.concat(word("x"), F.lit("."), word("y"), pick("g", "()", "", ".py", "(x)", "[0]")).alias("token"), F.concat(name, pick("a", "=", " = ", ": ")).alias("before")),
+        F.struct(F.concat(word("x"), pick("e", ".", "_", "."), word("y"), pick("g", "()", "", "()", "(x)", "[0]", ".py")).alias("token"), F.concat(name, pick("a", "=", " = ", ": ")).alias("before")),
     )
     chosen = F.when(i % 2 == 0, secret).otherwise(other)
     closing = F.when(F.col("x.before").rlike("\"$"), "\"").when(F.col("x.before").rlike("'$"), "'").otherwise("")
     prose = F.concat(pick("f", "", "", ".", ","), F.lit(" "), word("f1"), F.lit(" "), word("f2"))
     after = F.concat(closing, pick("l", prose, prose, F.lit(""), F.lit(";"), F.lit("!! AND"), F.lit("### the")))
-    return spark.range(rows).select("id", chosen.alias("x"), (i % 2 == 0).cast("double").alias("secret")).select("x.token", "x.before", after.alias("after"), "secret").where(F.length("token") > 0)
+    picked = drawn.select("id", "w_f1", "w_f2", chosen.alias("x"), (i % 2 == 0).cast("double").alias("secret"))
+    return written(picked.select("id", "x.token", "x.before", after.alias("after"), "secret").where(F.length("token") > 0)).orderBy("id").drop("id")
 
 
 def train(findings: DataFrame, words: list[str] | None = None, trees: int = TREES, levels: int = LEVELS) -> dict:
@@ -184,7 +201,8 @@ def train(findings: DataFrame, words: list[str] | None = None, trees: int = TREE
 
     words = words or dictionary()
     made = features(F.col("token"), F.col("before"), F.col("after"), words)
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="f").transform(findings.select("secret", *[made[k].alias(k) for k in FEATURES])).select("secret", "f").coalesce(1)
+    featured = written(findings.coalesce(1).select("secret", *[made[k].alias(k) for k in FEATURES]))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="f").transform(featured).select("secret", "f").coalesce(1)
     forest = RandomForestClassifier(labelCol="secret", featuresCol="f", numTrees=trees, maxDepth=levels, seed=SEED, minInstancesPerNode=3).fit(rows)
 
     def node(n):

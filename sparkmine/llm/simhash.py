@@ -197,7 +197,7 @@ def links(distinct: DataFrame, bits: int = BITS, subtree: int = SUBTREE) -> Data
             large = F.broadcast(large) if count <= BROADCAST_ROWS else large
             same = (F.col("turn") == F.col("t")) & (F.col("home") == F.col("h"))
             small = rows.join(large, same, "left_anti")
-        found.append(small.repartition(max(partitions(distinct.sparkSession), 2 << min(p, 10)), "turn", "home").groupBy("turn", "home").applyInPandas(walk, "fp long, root long"))
+        found.append(small.repartition(max(partitions(distinct), 2 << min(p, 10)), "turn", "home").groupBy("turn", "home").applyInPandas(walk, "fp long, root long"))
         if not count:
             return reduce(DataFrame.unionByName, found)
         more = min(STEP, 32 - p)
@@ -273,7 +273,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 SIMILAR = (4, 5)
 #: Texts whose shingles are counted to find common ones, how many of them must hold a common one, and common ones known at most.
 #: They come last in the order of shingles: any one order gives the same pairs, only the number of candidates differs.
-COUNTED, COMMON, KNOWN = 4096, 8, 1 << 18
+COUNTED, COMMON, KNOWN = 4096, 8, 1 << 16
+#: Rounds in which a row is compared with a few partners before all that is left is compared.
+LIKELIEST, PARTNERS = 3, 4
 _ALL = 1 << 60
 
 
@@ -343,14 +345,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int], made:
     return found
 
 
+def _settled(pairs: DataFrame, more: DataFrame, texts: DataFrame, least: tuple[int, int], made: list[DataFrame], known: bool = False) -> DataFrame:
+    """Links that have the components of all similar ones among pairs (u, v, seen) and more (u, v; similar already if known).
+
+    In each of the first rounds every row is compared with the likeliest of its partners, PARTNERS of them, that aren't in its
+    component yet; in the last one all pairs are compared that are still between components.
+    """
+    links_, pairs = more, written(pairs)
+    for i in range(LIKELIEST + 1):
+        turn = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("seen"), "u"))
+        likeliest = pairs.withColumn("turn", turn).where(F.col("turn") <= PARTNERS).select("u", "v")
+        asked = written((likeliest if i < LIKELIEST else pairs.select("u", "v")).union(more if not (i or known) else more.limit(0)))
+        found = _verified(asked, texts, least, made)
+        links_ = links_.union(found) if i or known else found
+        if i == LIKELIEST:
+            return links_
+        label = connected(links_)
+        at = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"{side}comp"))  # noqa: B023, E731
+        left = pairs.join(asked.select("u", "v"), ["u", "v"], "left_anti").join(at("u"), "u", "left").join(at("v"), "v", "left")
+        left = written(left.where(F.coalesce("ucomp", "u") != F.coalesce("vcomp", "v")).select("u", "v", "seen"))
+        drop(pairs, asked)
+        pairs = left
+        if pairs.isEmpty():
+            return links_
+
+
 def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: tuple[int, int] = SIMILAR) -> DataFrame:
     """docs with one row of each group of texts linked by a resemblance of least or more: that of the least id (a null
     id last), with all its columns.
 
     Equal shingle sets are reduced to one row. Candidates are the links of the tries and the pairs that share one of the
-    first shingles of both sets, of which every similar pair has one; all are compared exactly on whole sets. In the
-    first rounds a row is only held against the first row of a shingle, the one it shares most with before the others, so
-    that dense groups are one component before the last round takes the pairs between components. Common shingles are last in the order, so that a passage
+    first shingles of both sets, of which every similar pair has one; all are compared exactly on whole sets, unless they
+    are in one component already. First a row is only held against the first row of a shingle, then against all, and each
+    time against the one it shares most with before the others, so that dense groups don't give all their pairs. Common shingles are last in the order, so that a passage
     that many texts hold makes candidates only of texts that hold little else.
     """
     docs = bounded(docs)
@@ -393,24 +420,16 @@ def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one = written(heads.groupBy("fp").agg(F.min("row").alias("row")))
     tries = links(one.select("fp")).where("fp <> root").distinct()
     tries = tries.join(one.withColumnRenamed("row", "v"), "fp").join(one.select(F.col("fp").alias("root"), F.col("row").alias("u")), "root").select("u", "v")
-    # each row's likeliest first; then what that left apart
-    stars = written(_may_be_similar(stars, least))
-    likeliest = stars.groupBy("v").agg(F.max(F.struct("seen", (-F.col("u")).alias("less"))).alias("x")).select((-F.col("x.less")).alias("u"), "v")
-    near = _verified(likeliest.union(tries), texts, least, made)
-    label = connected(near)
-    at = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"{side}comp"))
-    open_ = stars.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("ucomp", "u") != F.coalesce("vcomp", "v")).select("u", "v")
-    near = near.union(_verified(open_, texts, least, made))
-
+    near = _settled(_may_be_similar(stars, least), tries, texts, least, made)
     label = connected(near)
     apart = written(shared.join(label, F.col("row") == F.col("node"), "left").select("h", "row", "n", F.coalesce("label", "row").alias("comp")))
-    drop(shared, one, stars)
+    drop(shared, one)
     a, b = (apart.select("h", *[F.col(c).alias(side + c) for c in ("row", "n", "comp")]) for side in "uv")
     between = a.join(b, "h").where((F.col("urow") < F.col("vrow")) & (F.col("ucomp") != F.col("vcomp")) & fits(F.col("un"), F.col("vn")))
-    rest = _verified(_may_be_similar(between.withColumnsRenamed({"urow": "u", "vrow": "v"}), least).select("u", "v"), texts, least, made)
+    near = _settled(_may_be_similar(between.withColumnsRenamed({"urow": "u", "vrow": "v"}), least), near, texts, least, made, known=True)
     drop(apart)
 
-    label = connected(near.union(rest))
+    label = connected(near)
     stays = written(sets.join(label, F.col("row") == F.col("node"), "left").groupBy(F.coalesce("label", "row")).agg(F.min("at").alias("at")).select(F.col("at.row").alias("_near_row")))
     drop(*made)
     stays = F.broadcast(stays) if stays.count() <= BROADCAST_ROWS else stays

@@ -96,7 +96,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         if ids:
             yield close()
 
-    n = partitions(spark)
+    n = partitions(docs)
     shard = range_shard(F.col("doc_id"), range_bounds(docs, "doc_id", n))
     dealt = docs.withColumn("shard", shard.cast("int")).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
     dealt.mapInPandas(blocks, BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
