@@ -210,21 +210,21 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star, each round written; map-side minima keep hubs from gathering in one task.
     """
-    edges = written(edges.where("u <> v").distinct())
+    marks = lambda e: e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u") % (1 << 40)).alias("s")).first()
+    edges, before = written(edges.where("u <> v").distinct()), None
     while True:
+        # a star forest that no longer changes: as many edges as before, of the same hashes
+        now = marks(edges)
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = written(small)
-        # a star forest that no longer changes: same edges as before
-        if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
-            drop(edges)
-            return new.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        drop(edges)
-        edges = new
+        old, before, edges = edges, now, written(small)
+        drop(old)
 
 
 def groups_of(marked: DataFrame, bits: int = BITS) -> DataFrame:
@@ -275,7 +275,7 @@ SIMILAR = (4, 5)
 #: They come last in the order of shingles: any one order gives the same pairs, only the number of candidates differs.
 COUNTED, COMMON, KNOWN = 4096, 8, 1 << 16
 #: Rounds in which a row is compared with a few partners before all that is left is compared.
-LIKELIEST, PARTNERS = 3, 4
+LIKELIEST, PARTNERS = 1, 16
 _ALL = 1 << 60
 
 
@@ -357,7 +357,7 @@ def _settled(pairs: DataFrame, more: DataFrame, texts: DataFrame, least: tuple[i
         likeliest = pairs.withColumn("turn", turn).where(F.col("turn") <= PARTNERS).select("u", "v")
         asked = written((likeliest if i < LIKELIEST else pairs.select("u", "v")).union(more if not (i or known) else more.limit(0)))
         found = _verified(asked, texts, least, made)
-        links_ = links_.union(found) if i or known else found
+        links_ = written(links_.union(found).distinct()) if i or known else found
         if i == LIKELIEST:
             return links_
         label = connected(links_)
