@@ -49,6 +49,17 @@ def bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system, where its C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Bytes that a shuffle partition holds about, and partitions at most.
 PARTITION_BYTES, MOST_PARTITIONS = 128 << 20, 100_000
 

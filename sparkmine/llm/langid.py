@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkmine.llm.common import bounded, worker_cache
+from sparkmine.llm.common import bounded, give_back, worker_cache
 
 #: Every code point: chr(0x10FFFF) is the last.
 POINTS = 0x110000
@@ -55,7 +55,7 @@ def presences(text: str | None, buffer: np.ndarray) -> np.ndarray | None:
             buffer[(code * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - HASH_BITS)] = True
         if len(points) <= n:
             break
-    found = np.flatnonzero(buffer)
+    found = np.flatnonzero(buffer).astype(np.int32)
     buffer[found] = False
     return found
 
@@ -91,6 +91,8 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     z = np.concatenate([feats, bias], 1)
     solved = np.linalg.solve(z.T @ (z * weight[:, None]) + ridge * len(z) * np.eye(z.shape[1]), z.T @ (truth * weight[:, None]))
     matrix = (base.T @ (root @ solved[:-1])).astype(np.float32)
+    del base, feats, z, pairs, marks
+    give_back()
     return {"names": names, "row": row, "matrix": np.concatenate([matrix, np.zeros((1, len(names)), np.float32)]), "bias": solved[-1]}
 
 
@@ -167,6 +169,7 @@ def least_score(texts: list[str], langs: list[str]) -> float:
         rest = [i for i in range(len(texts)) if i % FOLDS == k]
         found, score = predict([texts[i] for i in rest], fit([texts[i] for i in seen], [langs[i] for i in seen]), buffer)
         scores += [s for i, name, s in zip(rest, found, score, strict=True) if name == langs[i]]
+        give_back()
     return min(0.5, float(np.quantile(scores, LOST))) if scores else 0.0
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from sparkmine.llm import fingerprints as sketches
 from sparkmine.lineage import drop
-from sparkmine.llm.common import bounded, partitions, written
+from sparkmine.llm.common import bounded, give_back, partitions, written
 from sparkmine.llm.encode import batches
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -316,7 +316,9 @@ def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
                 yield pd.DataFrame({"h": shingle_set(t)})
 
     held = some.mapInPandas(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    return np.array(sorted(r["h"] for r in held.orderBy(F.desc("n"), "h").limit(KNOWN).collect()), np.int64)
+    found = np.array(sorted(r["h"] for r in held.orderBy(F.desc("n"), "h").limit(KNOWN).collect()), np.int64)
+    give_back()
+    return found
 
 
 def _may_be_similar(pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
