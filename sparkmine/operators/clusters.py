@@ -1,7 +1,7 @@
 """k-means: seeding by squared distance, Lloyd rounds, sums of squared errors over k, and the elbow.
 
 Centroids live on the driver (k vectors); points are read once per round, reduced to k sums per task, and only those
-sums travel.
+sums travel. Where many starts advance together, the points are written once as blocks of raw doubles.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmine.functions.hashing import uniform
+from sparkmine.lineage import cut, drop
+
+#: Points of a block, and tasks whose sums the driver adds up by itself; of more tasks other tasks add them up first.
+BLOCK, SUMS = 512, 32
 
 
 def assign(points: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -76,37 +80,66 @@ def _products(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ centroids.T) + (centroids * centroids).sum(1)[None], 0)
 
 
+def _blocks(points: DataFrame) -> DataFrame:
+    """n, x: the points as rows of up to BLOCK vectors each, raw doubles one after the other, dealt evenly and written."""
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), BLOCK):
+                x = np.stack(pdf["x"].iloc[at : at + BLOCK].tolist()).astype("<f8")
+                yield pd.DataFrame({"n": [len(x)], "x": [x.tobytes()]})
+
+    parts = points.sparkSession.sparkContext.defaultParallelism
+    return cut(points.select("x").mapInPandas(make, "n int, x binary").repartition(max(parts, points.rdd.getNumPartitions())))
+
+
 def lloyd_many(points: DataFrame, starts: list[np.ndarray], rounds: int = 100) -> list[tuple[np.ndarray, float]]:
     """lloyd() of every start at once: a round is one pass over the points for all of them that still move.
 
     The squared errors come from a last pass over all final centroids.
     """
     state, moving = [np.asarray(s, float) for s in starts], list(range(len(starts)))
+    if not state:
+        return []
+    blocks = _blocks(points)
+    tasks = blocks.rdd.getNumPartitions()
 
-    def reduced(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts and sums of each centroid's points, and the squared error of each set."""
+    def reduced(sets: list[np.ndarray], errors: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts and sums of each centroid's points, and if errors the squared error of each set."""
         every = np.concatenate(sets)
         cuts = np.cumsum([0, *map(len, sets)])
 
         def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n, s, e = np.zeros(len(every)), np.zeros_like(every), np.zeros(len(every))
             for pdf in frames:
-                for at in range(0, len(pdf), 1024):
-                    x = np.stack(pdf["x"].iloc[at : at + 1024].tolist())
+                for size, raw in zip(pdf["n"], pdf["x"], strict=True):
+                    x = np.frombuffer(raw, "<f8").reshape(size, -1)
                     d = _products(x, every)
-                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                        near = d[:, a:b].argmin(1)
-                        np.add.at(n, a + near, 1)
-                        np.add.at(s, a + near, x)
-                        e[a] += ((x - every[a + near]) ** 2).sum()
-            if n.any():
-                yield pd.DataFrame({"c": np.arange(len(n)), "n": n, "s": list(s), "e": e})
-
-        dims = [F.sum(F.element_at("s", i + 1)).alias(f"d{i}") for i in range(every.shape[1])]
-        n, s, e = np.zeros(len(every)), np.zeros_like(every), np.zeros(len(every))
-        rows = points.select("x").mapInPandas(part, "c int, n double, s array<double>, e double")
-        for r in rows.groupBy("c").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), *dims).collect():  # a row per centroid
-            n[r["c"]], e[r["c"]], s[r["c"]] = r["n"], r["e"], [r[f"d{i}"] for i in range(every.shape[1])]
+                    near = np.stack([a + d[:, a:b].argmin(1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], 1)
+                    # a one for each point and its centroid of each set: the sums are one matrix product
+                    ones = np.zeros_like(d)
+                    ones[np.arange(size)[:, None], near] = 1
+                    n += ones.sum(0)
+                    s += ones.T @ x
+                    if errors:
+                        for j, a in enumerate(cuts[:-1]):
+                            e[a] += ((x - every[near[:, j]]) ** 2).sum()
+            yield pd.DataFrame({"sums": [np.column_stack([n, e, s]).tobytes()]})
+
+        def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(every), every.shape[1] + 2))
+            for pdf in frames:
+                for raw in pdf["sums"]:
+                    total += np.frombuffer(raw).reshape(total.shape)
+            yield pd.DataFrame({"sums": [total.tobytes()]})
+
+        rows = blocks.mapInPandas(part, "sums binary")
+        if tasks > SUMS:
+            rows = rows.repartition(SUMS).mapInPandas(add, "sums binary")
+        total = np.zeros((len(every), every.shape[1] + 2))
+        for r in rows.collect():  # SUMS rows at most
+            total += np.frombuffer(r["sums"]).reshape(total.shape)
+        n, e, s = total[:, 0], total[:, 1], total[:, 2:]
         return n, s, e[cuts[:-1]]
 
     for _ in range(rounds):
@@ -122,7 +155,8 @@ def lloyd_many(points: DataFrame, starts: list[np.ndarray], rounds: int = 100) -
             state[i] = new
             at += k
         moving = still
-    errors = reduced(state)[2] if state else []
+    errors = reduced(state, errors=True)[2]
+    drop(blocks)
     return [(c, float(e)) for c, e in zip(state, errors, strict=True)]
 
 

@@ -288,6 +288,27 @@ def test_masks_are_joined_by_their_rarest_feature(spark):
         assert got[q] == (len(held), min(held), max(held))
 
 
+def test_rounds_of_many_starts_read_the_points_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [(i, [float(i % 7), float(i * i % 11)]) for i in range(60)]
+    points = spark.createDataFrame(rows, "id long, x array<double>")
+    starts = [np.array([rows[i][1] for i in range(s, s + 3)]) for s in range(4)]
+    want = clusters.lloyd_many(points, starts, 10)
+    monkeypatch.setattr(clusters, "SUMS", 1)  # other tasks add the sums up
+    monkeypatch.setattr(clusters, "BLOCK", 8)
+    found = clusters.lloyd_many(points.repartition(4).select("id", counted("x").alias("x")), starts, 10)
+    assert seen.value == len(rows)
+    for (a, x), (b, y) in zip(found, want, strict=True):
+        assert np.allclose(a, b) and x == pytest.approx(y)
+        assert x == pytest.approx(sum(min(((np.array(p) - c) ** 2).sum() for c in a) for _, p in rows))
+
+
 def test_many_lloyds_are_single_ones(spark):
     r = np.random.default_rng(4)
     points = spark.createDataFrame([(i, [float(x) for x in r.standard_normal(3) + 5 * (i % 3)]) for i in range(90)], "id long, x array<double>")
