@@ -276,6 +276,10 @@ SIMILAR = (4, 5)
 COUNTED, COMMON, KNOWN = 4096, 8, 1 << 16
 #: Rounds in which a row is compared with a few partners before all that is left is compared.
 LIKELIEST, PARTNERS = 1, 16
+#: A shingle in the prefixes of more rows than CROWD is crowded, unless one of its rows has more than WIDE shingles. Rows that
+#: crowded shingles chain together are a crowd; it is compared by blocks of about BLOCK rows if it has at most SPREAD times
+#: the rows of its most crowded shingle.
+CROWD, WIDE, BLOCK, SPREAD = 64, 4096, 256, 4
 _ALL = 1 << 60
 
 
@@ -372,6 +376,74 @@ def _settled(pairs: DataFrame, more: DataFrame, texts: DataFrame, least: tuple[i
             return links_
 
 
+def _crowds(shared: DataFrame, made: list[DataFrame]) -> DataFrame | None:
+    """row, crowd (its least row), blocks: the rows of crowds that are compared by blocks; None without any.
+
+    Every shingle that is crowded has all its rows in one crowd, and shared marks it as such.
+    """
+    crowded = shared.where("crowded")
+    if crowded.isEmpty():
+        return None
+    label = connected(crowded.select(F.col("m.row").alias("u"), F.col("row").alias("v")))
+    rows = crowded.groupBy("row").agg(F.max("sharing").alias("most")).join(label, F.col("row") == F.col("node"), "left")
+    rows = written(rows.select("row", "most", F.coalesce("label", "row").alias("crowd")))
+    size = rows.groupBy("crowd").agg(F.count("*").alias("size"), F.max("most").alias("most")).where(F.col("size") <= SPREAD * F.col("most"))
+    found = written(rows.join(size.select("crowd", F.ceil(F.col("size") / BLOCK).alias("blocks")), "crowd").select("row", "crowd", "blocks"))
+    made += [rows, found]
+    return found
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share, by matrix products over a few thousand elements at a time."""
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = counts > 1
+    own, at = own[several[at]], (np.cumsum(several) - 1)[at[several[at]]]
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    both = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(several.sum()), 4096):
+        a, b = np.searchsorted(at, [low, low + 4096])
+        ones = np.zeros((len(sets), 4096), np.float32)
+        ones[own[a:b], at[a:b] - low] = 1
+        both += ones @ ones.T
+    return both.astype(np.int64)
+
+
+def _linked_crowds(crowds: DataFrame, texts: DataFrame, least: tuple[int, int], made: list[DataFrame]) -> DataFrame:
+    """u, v: links that have the components of all similar pairs within each crowd.
+
+    Each two blocks of a crowd, and each with itself, meet in one task, which compares all their pairs exactly and passes on
+    one link per row at most.
+    """
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.drop(columns="text").assign(set=[shingle_set(t).tobytes() for t in pdf["text"]])
+
+    few = F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds
+    rows = texts.join(few, "row").mapInPandas(sets, "row long, crowd long, blocks long, set binary")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
+    every = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = every.select("crowd", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row", "set")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row")
+        row, block = pdf["row"].to_numpy(), pdf["block"].to_numpy()
+        held = [np.frombuffer(s, np.int64) for s in pdf["set"]]
+        n = np.array([len(s) for s in held])
+        alike = _intersections(held) * sum(least) >= least[0] * (n[:, None] + n[None])
+        if pdf["low"].iloc[0] != pdf["high"].iloc[0]:  # pairs within a block meet in its own task
+            alike &= block[:, None] != block[None]
+        comps = _Components(len(row))
+        comps.link(*np.nonzero(np.triu(alike, 1)))
+        later = comps.label != np.arange(len(row))
+        return pd.DataFrame({"u": row[comps.label[later]], "v": row[later]})
+
+    found = written(every.groupBy("crowd", "low", "high").applyInPandas(compare, "u long, v long"))
+    made.append(found)
+    return found
+
+
 def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: tuple[int, int] = SIMILAR) -> DataFrame:
     """docs with one row of each group of texts linked by a resemblance of least or more: that of the least id (a null
     id last), with all its columns.
@@ -379,8 +451,10 @@ def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Equal shingle sets are reduced to one row. Candidates are the links of the tries and the pairs that share one of the
     first shingles of both sets, of which every similar pair has one; all are compared exactly on whole sets, unless they
     are in one component already. First a row is only held against the first row of a shingle, then against all, and each
-    time against the one it shares most with before the others, so that dense groups don't give all their pairs. Common shingles are last in the order, so that a passage
-    that many texts hold makes candidates only of texts that hold little else.
+    time against the one it shares most with before the others, so that dense groups don't give all their pairs. Rows of
+    shingles that many rows share are compared within blocks instead, so that their pairs are never rows of a table. Common
+    shingles are last in the order, so that a passage that many texts hold makes candidates only of texts that hold little
+    else.
     """
     docs = bounded(docs)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
@@ -413,9 +487,17 @@ def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         heads.select("row", "n", F.explode("prefix").alias("h"))
         .withColumn("m", F.min(F.struct("row", "n")).over(by_shingle))
         .withColumn("sharing", F.count("*").over(by_shingle))
+        .withColumn("crowded", (F.col("sharing") > CROWD) & (F.max("n").over(by_shingle) <= WIDE))
         .where("sharing > 1")
-        .drop("sharing")
     )
+    crowds, sure = _crowds(shared, made), None
+    if crowds is not None:
+        sure = _linked_crowds(crowds, texts, least, made)
+        # all pairs within a crowd are settled: its crowded shingles make no more candidates
+        few = F.broadcast(crowds.select("row")) if crowds.count() <= BROADCAST_ROWS else crowds.select("row")
+        done = shared
+        shared = written(shared.where("not crowded").unionByName(shared.where("crowded").join(few, "row", "left_anti")))
+        drop(done)
     fits = lambda a, b: F.least(a, b) * least[1] >= F.greatest(a, b) * least[0]
     stars = shared.where("row > m.row").where(fits(F.col("n"), F.col("m.n")))
     stars = stars.select(F.col("m.row").alias("u"), F.col("row").alias("v"), F.col("m.n").alias("un"), F.col("n").alias("vn"))
@@ -423,6 +505,7 @@ def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tries = links(one.select("fp")).where("fp <> root").distinct()
     tries = tries.join(one.withColumnRenamed("row", "v"), "fp").join(one.select(F.col("fp").alias("root"), F.col("row").alias("u")), "root").select("u", "v")
     near = _settled(_may_be_similar(stars, least), tries, texts, least, made)
+    near = near if sure is None else near.unionByName(sure)
     label = connected(near)
     apart = written(shared.join(label, F.col("row") == F.col("node"), "left").select("h", "row", "n", F.coalesce("label", "row").alias("comp")))
     drop(shared, one)

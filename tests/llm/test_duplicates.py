@@ -386,3 +386,33 @@ def test_stages(spark, name, request):
     if name == "sample":
         kept = {r["doc_id"] for r in request.getfixturevalue(name).collect()}
         assert {p["doc_id"] for p in pieces} <= kept and pieces
+
+
+def test_a_crowd_of_near_copies_makes_no_pairs_as_rows(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    base, texts = [f"w{x}" for x in range(80)], []
+    for i in range(160):
+        copy = list(base)
+        for at in r.integers(0, 80, i % 5):
+            copy[at] = f"v{r.integers(0, 10**6)}"
+        texts.append(" ".join(copy))
+    texts = edited_texts(9, originals=6) + texts
+    made, whole = [], simhash._may_be_similar
+
+    def counted(pairs, least):
+        made.append(pairs.count())
+        return whole(pairs, least)
+
+    monkeypatch.setattr(simhash, "_may_be_similar", counted)
+    monkeypatch.setattr(simhash, "BLOCK", 32, raising=False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = set(brute_similar(texts))
+    assert 10 < len(want) < len(texts) - 60
+    assert {x["doc_id"] for x in simhash.one_of_each_similar(docs).collect()} == want
+    assert sum(made) < 20 * len(texts)
+
+
+def test_intersections_against_sets():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 6000, n)) for n in (1, 40, 3000, 5000, 5000)]
+    assert simhash._intersections(sets).tolist() == [[len(np.intersect1d(a, b)) if a is not b else int(np.isin(a, np.concatenate([c for c in sets if c is not a])).sum()) for b in sets] for a in sets]
