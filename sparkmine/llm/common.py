@@ -50,11 +50,15 @@ def bounded(docs: DataFrame) -> DataFrame:
 
 
 def give_back() -> None:
-    """Returns what this process has freed to the system, where its C library can."""
+    """Returns what this process has freed to the system, where its C library can, and has the driver's JVM collect its garbage:
+    only then does Spark delete the shuffles and broadcasts that nothing refers to."""
     import ctypes
     import gc
 
     gc.collect()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

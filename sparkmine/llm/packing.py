@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkmine.llm.common import bounded, written
+from sparkmine.llm.common import bounded, give_back, written
 from sparkmine.llm.encode import KEPT, batches, encoder
 
 WINDOW = 2048
@@ -181,6 +181,7 @@ def pack(parts: DataFrame, window: int = WINDOW) -> DataFrame:
     for r in counted.groupBy("rest").agg(F.sum("n").alias("n")).collect():  # a row per length: window - 1 at most
         counts[r["rest"]] = r["n"]
     plan = slots(*solve(counts, window))
+    give_back()
 
     upto = Window.partitionBy("rest").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select(F.col("task").alias("t"), F.col("rest").alias("r"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))

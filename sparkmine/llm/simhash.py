@@ -517,6 +517,7 @@ def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = connected(near)
     stays = written(sets.join(label, F.col("row") == F.col("node"), "left").groupBy(F.coalesce("label", "row")).agg(F.min("at").alias("at")).select(F.col("at.row").alias("_near_row")))
     drop(*made)
+    give_back()
     stays = F.broadcast(stays) if stays.count() <= BROADCAST_ROWS else stays
     return marked.join(stays, "_near_row", "left_semi").select(*docs.columns)
 
