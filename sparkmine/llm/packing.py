@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkmine.llm.common import bounded, give_back, written
+from sparkmine.llm.common import bounded, give_back, worker_cache, written
 from sparkmine.llm.encode import KEPT, batches, encoder
 
 WINDOW = 2048
@@ -189,6 +189,8 @@ def pack(parts: DataFrame, window: int = WINDOW) -> DataFrame:
     ranked = narrow.join(base, (F.col("task") == F.col("t")) & (F.col("rest") == F.col("r"))).select("task", "rest_nth", "doc_id", "doc_tokens", "rest", "rest_crc32", (F.col("rest_nth") + F.col("base")).alias("rank"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("place")  # lets the encoder's store go
+        give_back()
         for pdf in frames:
             sequence, offset = np.full(len(pdf), -1, np.int64), np.zeros(len(pdf), np.int64)
             for length, index in pdf.groupby("rest").indices.items():
