@@ -25,8 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, folder: str | None = None, codec: str = "snappy") -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
-    return lineage.cut(df, folder, codec)
+    """The rows of df as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing. The driver's
+    JVM returns what it has freed meanwhile."""
+    table = lineage.cut(df, folder, codec)
+    trim(df.sparkSession)
+    return table
 
 
 def worker_cache(owner: str) -> dict:
@@ -49,9 +52,34 @@ def bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def trim(spark: SparkSession) -> None:
+    """Has the driver's JVM return the native memory that it has freed to the system, some hundredths of a second. The C library
+    keeps such memory, in an arena for each few threads: hundreds of MB after a hundred queries, that neither Java's heap nor its
+    limit shows. Nothing happens where the JVM can't (without glibc, or Java before 17.0.9)."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind, *values):
+        out = new(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    # by the interface's method: the server's own class isn't open to callers
+    java, kind = jvm.java.lang, jvm.java.lang.Class.forName
+    types = [kind(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    try:
+        invoke = kind("javax.management.MBeanServer").getMethod("invoke", array(java.Class, *types))
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), array(java.Object, commands, "systemTrimNativeHeap", None, None))
+    except Py4JJavaError:
+        pass
+
+
 def give_back() -> None:
-    """Returns what this process has freed to the system, where its C library can, and has the driver's JVM collect its garbage:
-    only then does Spark delete the shuffles and broadcasts that nothing refers to."""
+    """Returns what this process and the driver's JVM have freed to the system, where their C library can, and has the JVM collect
+    its garbage: only then does Spark delete the shuffles and broadcasts that nothing refers to."""
     import ctypes
     import gc
 
@@ -59,9 +87,10 @@ def give_back() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None:
         spark.sparkContext._jvm.System.gc()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+        trim(spark)
+    freed = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if freed:
+        freed(0)
 
 
 #: Bytes that a shuffle partition holds about, and partitions at most.

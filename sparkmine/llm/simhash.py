@@ -371,6 +371,7 @@ def _settled(pairs: DataFrame, more: DataFrame, texts: DataFrame, least: tuple[i
         left = pairs.join(asked.select("u", "v"), ["u", "v"], "left_anti").join(at("u"), "u", "left").join(at("v"), "v", "left")
         left = written(left.where(F.coalesce("ucomp", "u") != F.coalesce("vcomp", "v")).select("u", "v", "seen"))
         drop(pairs, asked)
+        give_back()
         pairs = left
         if pairs.isEmpty():
             return links_

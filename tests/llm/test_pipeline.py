@@ -1,6 +1,8 @@
 """The pipeline on the smallest driver table, stage by stage, against a brute-force version of each."""
 
 import re
+import sys
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -9,7 +11,7 @@ from test_duplicates import brute_similar
 from test_tokens import check_pieces
 
 import corpus_pipeline
-from sparkmine.llm import langid, mixing, packing, secrets
+from sparkmine.llm import common, langid, mixing, packing, secrets
 
 
 def kernel_scores(train, langs, texts, landmarks=langid.LANDMARKS, ridge=langid.RIDGE):
@@ -101,3 +103,27 @@ def test_stages_against_brute_force(spark, sample):
     run = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     shape = lambda ps: sorted((p["doc_id"], p["start"], p["length"], p["ids_crc32"]) for p in ps if p["length"] == packing.WINDOW)
     assert shape(run) == shape(pieces) and sum(p["length"] for p in run) == sum(p["length"] for p in pieces)
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+@pytest.mark.parametrize("by", ["give_back", "written"])
+def test_the_jvm_s_freed_native_memory_goes_back(spark, by):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def arenas() -> float:
+        """MB of the C library's arenas, which begin at multiples of their 64 MB, in that process; Java's heap is larger."""
+        maps = re.findall(r"^([0-9a-f]+)-([0-9a-f]+) rw-p 0+ 00:00 0 *\n(?:.*\n)*?Rss: +(\d+) kB", Path(f"/proc/{pid}/smaps").read_text(), re.M)
+        return sum(int(rss) for a, b, rss in maps if int(a, 16) % (64 << 20) == 0 and int(b, 16) - int(a, 16) <= 64 << 20) / 1024
+
+    common.written(spark.range(1))
+    before = arenas()
+    held = [jvm.java.util.zip.Deflater() for _ in range(2400)]
+    taken = arenas() - before
+    for d in held[:-1]:  # the last one stays: what lies below it isn't the end of an arena, which would go back by itself
+        d.end()
+    kept = arenas() - before
+    common.give_back() if by == "give_back" else common.written(spark.range(1))
+    left = arenas() - before
+    held[-1].end()
+    assert taken > 40 and kept > 0.8 * taken and left < 0.5 * taken
